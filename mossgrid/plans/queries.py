@@ -5,6 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from mossgrid.functions.fields import category
+from mossgrid.operators.split_values import split_values
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    labelled = _table(spark, d, "questions").where(category(F.col("TaskType")) == "multi label classification")
+    return split_values(labelled, _table(spark, d, "label_terms"), id_col="rec_id", value_col="Answer")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_values(spark, d).where("known").select("rec_id", "pos", "val")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_values, p5_found)}
 ORACLE: dict[str, str] = {}
