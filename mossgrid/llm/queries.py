@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossgrid.llm import canonical, overlap
+from mossgrid.llm import canonical, overlap, quota, related
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -34,8 +34,29 @@ def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return canonical.collapsed_records(_table(spark, d, "raw_records"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    _, report = quota.proportional_sample(_table(spark, d, "questions"), _table(spark, d, "category_targets"))
+    return report.where("short > 0").select("Modality", "TaskType")
+
+
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    return quota.proportional_sample(_table(spark, d, "questions"), _table(spark, d, "category_targets"))[0]
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return quota.proportional_sample(_table(spark, d, "questions"), _table(spark, d, "category_targets"))[1]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return related.related_records(_table(spark, d, "questions"))
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    return related.grouped_splits(_table(spark, d, "questions"), _table(spark, d, "split_targets"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p3_found, p3_collapsed)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_sample, p2_report, p3_found, p3_collapsed, p4_found, p4_splits)
 }
 
 ORACLE: dict[str, str] = {}
