@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossgrid.llm import canonical, overlap, quota, related
+from mossgrid.llm import canonical, overlap, pairs, quota, related
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -55,8 +55,16 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return related.grouped_splits(_table(spark, d, "questions"), _table(spark, d, "split_targets"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.broken_pairs(_table(spark, d, "predictions"), _table(spark, d, "label_terms"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defect_report(_table(spark, d, "predictions"), p6_found(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_sample, p2_report, p3_found, p3_collapsed, p4_found, p4_splits)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_sample, p2_report, p3_found, p3_collapsed, p4_found, p4_splits, p6_found, p6_report)
 }
 
 ORACLE: dict[str, str] = {}
