@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossgrid.llm import canonical, overlap, pairs, quota, related
+from mossgrid.llm import canonical, mixture, overlap, pairs, quota, related, tokens
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -63,8 +63,24 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defect_report(_table(spark, d, "predictions"), p6_found(spark, d))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(_table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_report(spark, d).where("short").select("source")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix_sources(_table(spark, d, "documents"), _table(spark, d, "source_targets"))[1]
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix_sources(_table(spark, d, "documents"), _table(spark, d, "source_targets"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_sample, p2_report, p3_found, p3_collapsed, p4_found, p4_splits, p6_found, p6_report)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_sample, p2_report, p3_found, p3_collapsed, p4_found, p4_splits, p6_found, p6_report, p7_ids, p8_found, p8_report, p8_mixture)
 }
 
 ORACLE: dict[str, str] = {}
