@@ -49,6 +49,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *cols: str | Column) -> DataFrame:
+    """Hash-partitioned by the columns into as many parts as the session shuffles, at least
+    two for each core. For stages that are heavier than their bytes, Python ones above all:
+    AQE would merge their small partitions by size."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *cols)
+
+
 def fingerprint(*cols: Column) -> tuple[Column, Column]:
     """128 bits of hash over the columns, as two independently seeded longs."""
     return F.xxhash64(*cols), F.xxhash64(F.lit(0x5BD1E995), *cols)
