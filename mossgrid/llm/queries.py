@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossgrid.llm import canonical, mixture, overlap, pairs, quota, related, tokens
+from mossgrid.llm import canonical, mixture, overlap, pairs, quota, related, spans, tokens
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -79,8 +79,12 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix_sources(_table(spark, d, "documents"), _table(spark, d, "source_targets"))[0]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(_table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_sample, p2_report, p3_found, p3_collapsed, p4_found, p4_splits, p6_found, p6_report, p7_ids, p8_found, p8_report, p8_mixture)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_sample, p2_report, p3_found, p3_collapsed, p4_found, p4_splits, p6_found, p6_report, p7_ids, p8_found, p8_report, p8_mixture, p9_found)
 }
 
 ORACLE: dict[str, str] = {}
