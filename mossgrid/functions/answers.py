@@ -40,9 +40,11 @@ def cleaned(output: Column) -> Column:
         .when(F.lower(raw).contains("assistant:"), strip(F.regexp_replace(raw, r"(?is)^.*assistant:", "")))
         .otherwise(raw)
     )
+    # Each step holds the one before it once: nested cases would repeat it many times over.
     for mark in ("system\n", "user\n"):
-        spoken = F.when(spoken.startswith(mark), strip(F.substring(spoken, len(mark) + 1, 1 << 30))).otherwise(spoken)
-    return F.when(spoken.contains("Answer:"), strip(F.substring_index(spoken, "Answer:", -1))).otherwise(spoken)
+        spoken = F.regexp_replace(spoken, rf"(?sU)^{mark}\s*(.*?)\s*$", "$1")
+    return F.regexp_replace(spoken, r"(?sU)^.*Answer:\s*(.*?)\s*$", "$1")
+
 
 
 def choice(text: Column) -> Column:

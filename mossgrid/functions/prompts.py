@@ -57,7 +57,9 @@ def assistant_start(text: Column) -> Column:
 
 def masked_labels(ids: Column, prefix: Column, pad: int) -> Column:
     """Token ids with the prefix and all padding ignored."""
-    return F.transform(ids, lambda t, i: F.when((i < prefix) | (t == pad), F.lit(IGNORED)).otherwise(t))
+    hidden = F.transform(F.slice(ids, 1, F.greatest(prefix, F.lit(0))), lambda t: F.lit(IGNORED))
+    shown = F.slice(ids, F.greatest(prefix, F.lit(0)) + 1, F.greatest(F.size(ids), F.lit(0)))
+    return F.concat(hidden, F.transform(shown, lambda t: F.when(t == pad, F.lit(IGNORED)).otherwise(t)))
 
 
 def learning_ratio(labels: Column) -> Column:

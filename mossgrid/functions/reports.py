@@ -165,22 +165,17 @@ def _correlation(pairs: str) -> Column:
     )
 
 
-def efficacy_category(text: Column) -> Column:
+def efficacy_category(text: str) -> Column:
     """First category with a term whose first occurrence isn't denied just before it."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    result = F.lit("normal")
-    for category, terms in reversed(L.EFFICACY.items()):
-        for term in reversed(terms):
-            at = F.locate(term, lower)
-            before = F.substring(lower, F.greatest(at - 20, F.lit(1)), at - F.greatest(at - 20, F.lit(1)))
-            denied = F.lit(False)
-            for denial in L.EFFICACY_DENIALS:
-                denied = denied | before.contains(denial)
-            result = F.when((at > 0) & ~denied, category).otherwise(result)
-    return result
-
-
-def efficacy(generated: Column, reference: Column) -> Column:
+    rows = _array([{"name": c, "term": t} for c, terms in L.EFFICACY.items() for t in terms])
+    lower = f"lower(coalesce({text}, ''))"
+    before = "substring(x, greatest(0, instr(x, e.term) - 1 - 20) + 1, least(20, instr(x, e.term) - 1))"
+    denied = " or ".join(f"instr({before}, {_quoted(d)}) > 0" for d in L.EFFICACY_DENIALS)
+    first = f"get(filter({rows}, e -> instr(x, e.term) > 0 and not ({denied})), 0).name"
+    return F.expr(f"coalesce(get(transform(array({lower}), x -> {first}), 0), 'normal')")
+
+
+def efficacy(generated: str, reference: str) -> Column:
     """One for equal categories, a half for critical against abnormal."""
     g, r = efficacy_category(generated), efficacy_category(reference)
     grave = ["critical", "abnormal"]

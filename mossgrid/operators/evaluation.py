@@ -52,36 +52,40 @@ def only_task(pairs: DataFrame, task: str) -> DataFrame:
     return chosen
 
 
-def parsed(pairs: DataFrame) -> DataFrame:
+def parsed(pairs: DataFrame, tasks: tuple[str, ...] = ()) -> DataFrame:
     """Adds the typed values of output (``p_*``) and reference (``r_*``), one nullable
-    column for each kind, and ``valid``. Number tasks need both numbers; others are valid."""
-    text = answers.cleaned(F.col("output"))
+    column for each kind, and ``valid``. Number tasks need both numbers; others are valid.
+
+    ``tasks``: only the columns of these tasks, for pairs that hold no other.
+    """
     ref = F.coalesce(F.col("reference"), F.lit(""))
-    base = pairs.withColumn("__text", text).withColumn("__ref", answers.cleaned(ref))
-    kind = parser_kind(F.col("task"))
-    of = lambda k, value: F.when(kind == k, value)
-    t, r = F.col("__text"), F.col("__ref")
-    typed = base.withColumns(
-        {
-            "p_label": of("classification", answers.choice(t)),
-            "r_label": of("classification", ref),
-            "p_labels": of("multi-label", answers.labels(t)),
-            "r_labels": of("multi-label", answers.labels(r)),
-            "p_boxes": of("detection", answers.boxes(t)),
-            "r_boxes": of("detection", answers.boxes(r)),
-            "p_inst": F.when(F.col("task") == "instance_detection", answers.instances(t)),
-            "r_inst": F.when(F.col("task") == "instance_detection", answers.instances(r)),
-            "p_number": F.when(kind == "counting", answers.count(t).cast("double")).when(kind == "regression", answers.measure(t)),
-            "r_number": F.when(kind == "counting", F.floor(answers.reference_number(ref)).cast("double")).when(
-                kind == "regression", answers.reference_number(ref)
-            ),
-            "p_text": of("report_generation", answers.report(t)),
-            "r_text": of("report_generation", ref),
-        }
-    )
+    base = pairs.withColumns({"__text": answers.cleaned(F.col("output")), "__ref": answers.cleaned(ref)})
+    kind, t, r = parser_kind(F.col("task")), F.col("__text"), F.col("__ref")
+    wanted = lambda *names: not tasks or any(n in tasks for n in names)
+    columns: dict[str, Column] = {}
+
+    def add(name: str, tested: Column, p: Column, q: Column) -> None:
+        columns[f"p_{name}"], columns[f"r_{name}"] = F.when(tested, p), F.when(tested, q)
+
+    if wanted("classification"):
+        add("label", kind == "classification", answers.choice(t), ref)
+    if wanted("multi-label"):
+        add("labels", kind == "multi-label", answers.labels(t), answers.labels(r))
+    if wanted("detection"):
+        add("boxes", kind == "detection", answers.boxes(t), answers.boxes(r))
+    if wanted("instance_detection"):
+        add("inst", F.col("task") == "instance_detection", answers.instances(t), answers.instances(r))
+    if wanted("counting", "regression"):
+        counting, number = kind == "counting", answers.reference_number(ref)
+        columns["p_number"] = F.when(counting, answers.count(t).cast("double")).when(kind == "regression", answers.measure(t))
+        columns["r_number"] = F.when(counting, F.floor(number).cast("double")).when(kind == "regression", number)
+    if wanted("report_generation"):
+        add("text", kind == "report_generation", answers.report(t), ref)
+    typed = base.withColumns(columns).drop("__text", "__ref")
+    if "p_number" not in columns:
+        return typed.withColumn("valid", F.lit(True))
     numeric = F.col("task").isin("counting", "regression")
-    valid = ~numeric | (F.col("p_number").isNotNull() & F.col("r_number").isNotNull())
-    return typed.withColumn("valid", valid).drop("__text", "__ref")
+    return typed.withColumn("valid", ~numeric | (F.col("p_number").isNotNull() & F.col("r_number").isNotNull()))
 
 
 def ratio(over: Column, under: Column) -> Column:
@@ -296,14 +300,14 @@ def bleu(df: DataFrame, keys: list[str], id_col: str, generated: str, reference:
     orders = list(range(1, min(n_gram, 4) + 1))
 
     def grams(side: str) -> Column:
-        every = [
-            F.transform(
-                F.when(F.size(side) >= n, F.sequence(F.lit(1), F.size(side) - n + 1)).otherwise(F.array().cast("array<int>")),
-                lambda i, n=n: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(side, i, n), " ").alias("gram")),
+        def of(n: int) -> Column:
+            places = F.when(F.size(side) >= n, F.sequence(F.lit(1), F.size(side) - n + 1))
+            return F.transform(
+                F.coalesce(places, F.array().cast("array<int>")),
+                lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(side, i, n), " ").alias("gram")),
             )
-            for n in orders
-        ]
-        return F.concat(*every)
+
+        return F.concat(*[of(n) for n in orders])
 
     rows = reduce(
         DataFrame.unionByName,
@@ -351,14 +355,17 @@ def report_rollup(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 def most_missed(scored: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
     """The n kinds missed most often; ties in the order of names."""
-    counted = scored.select(*keys, F.explode("missed_kinds").alias("kind")).groupBy(*keys, "kind").agg(F.count("*").alias("missed"))
+    # An outer explode: for an inner one the optimiser would test the list's size below the
+    # projection and find all mentions a second time.
+    exploded = scored.select(*keys, F.explode_outer("missed_kinds").alias("kind")).where("kind IS NOT NULL")
+    counted = exploded.groupBy(*keys, "kind").agg(F.count("*").alias("missed"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("missed"), "kind"))
     return counted.withColumn("place", rank).where(F.col("place") <= n)
 
 
 def report_generation(df: DataFrame, keys: list[str]) -> DataFrame:
     """Mean report score, BLEU and efficacy."""
-    scored = report_scores(df).select(*keys, "overall", reports.efficacy(F.col("p_text"), F.col("r_text")).alias("e"))
+    scored = report_scores(df).select(*keys, "overall", reports.efficacy("p_text", "r_text").alias("e"))
     means = scored.groupBy(*keys).agg(
         F.avg("overall").alias("green_score"), F.avg("e").alias("clinical_efficacy"), F.count("*").alias("valid_samples")
     )

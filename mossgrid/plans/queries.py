@@ -13,6 +13,7 @@ from mossgrid.operators import evaluation as E
 from mossgrid.operators import preparation as P
 from mossgrid.operators import submit
 from mossgrid.operators.split_values import split_values
+from mossgrid.plans.runtime import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,7 +39,7 @@ def pairs(spark: SparkSession, d: str, *routed: str) -> DataFrame:
 
 
 def values(spark: SparkSession, d: str, *routed: str) -> DataFrame:
-    return E.parsed(pairs(spark, d, *routed))
+    return E.parsed(pairs(spark, d, *routed), routed)
 
 
 def outputs(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
@@ -453,7 +454,7 @@ def _components(spark: SparkSession, d: str, *names: str) -> DataFrame:
 @query
 def green_entities(spark: SparkSession, d: str) -> DataFrame:
     """Mentions in the references by kind and term."""
-    m = E.report_scores(_reports(spark, d)).select("pred_id", F.explode("ref_m").alias("m"))
+    m = E.report_scores(_reports(spark, d)).select("pred_id", F.explode_outer("ref_m").alias("m")).where("m IS NOT NULL")
     return m.groupBy("m.kind", "m.term").agg(
         F.count("*").alias("n"), F.sum(F.col("m.denied").cast("long")).alias("n_denied"), F.count("m.size").alias("n_sized"),
         rounded(F.avg("m.severity")).alias("severity"), rounded(F.avg("m.doubt")).alias("doubt"),
@@ -528,8 +529,8 @@ def bleu(spark: SparkSession, d: str) -> DataFrame:
 @query
 def clinical_efficacy(spark: SparkSession, d: str) -> DataFrame:
     return _reports(spark, d).select(
-        "pred_id", reports.efficacy_category(F.col("p_text")).alias("generated"), reports.efficacy_category(F.col("r_text")).alias("reference"),
-        reports.efficacy(F.col("p_text"), F.col("r_text")).alias("score"),
+        "pred_id", reports.efficacy_category("p_text").alias("generated"), reports.efficacy_category("r_text").alias("reference"),
+        reports.efficacy("p_text", "r_text").alias("score"),
     )
 
 
@@ -552,7 +553,8 @@ def results_overall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:
-    long = E.metrics(values(spark, d).where(F.col("model").isin(BASE_MODEL, TUNED_MODEL)).cache())
+    both = values(spark, d).where(F.col("model").isin(BASE_MODEL, TUNED_MODEL))
+    long = cut_lineage(E.metrics(both))  # a few rows for each model and task, read three times
     side = lambda m: long.where(F.col("model") == m)
     return E.compare(side(BASE_MODEL), side(TUNED_MODEL))
 
