@@ -163,6 +163,8 @@ def _windows(grid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
 
 def _merge(ids: np.ndarray, starts: np.ndarray, length: int) -> pd.DataFrame:
     """Window starts of texts as intervals: neighbouring windows are joined."""
+    if not len(ids):
+        return pd.DataFrame({"id": ids, "begin": starts, "end": starts}).astype("int64")
     order = np.lexsort((starts, ids))
     ids, starts = ids[order], starts[order]
     new = np.ones(len(ids), bool)
