@@ -87,7 +87,9 @@ def prepare(
     # At most one file for each known dataset and split.
     placed = Q.placed_files(files).join(F.broadcast(known), ["dataset", "category"])
     paths = [r["path"] for r in placed.select("path").collect()]
-    questions = Q.read_questions(spark, paths).where("_corrupt_record IS NULL").join(F.broadcast(placed), "path")
+    # The folder decides the split; what a record says of itself would clash with it.
+    records = Q.read_questions(spark, paths).where("_corrupt_record IS NULL").drop("Split")
+    questions = records.join(F.broadcast(placed), "path")
     key = F.xxhash64("path", "pos", F.lit(42))
     group = ["dataset", "split"]
     train = sampled(questions.where("split = 'train'"), max_samples, group, key, "pos")
@@ -148,7 +150,7 @@ def validate(spark: SparkSession, base: str, *, check_images: bool = False, n: i
         F.concat(F.lit("Missing question file: "), where, F.lit("/"), "file").alias("issue")
     )
     there = expected.where(F.array_contains("subs", F.col("file"))).select(F.concat(F.lit(base.rstrip("/") + "/"), where, F.lit("/"), "file").alias("path"))
-    first = Q.read_questions(spark, [r["path"] for r in there.collect()]).where("pos = 1")  # a file for each dataset and split
+    first = Q.read_questions(spark, [r["path"] for r in there.collect()]).where("pos = 1").cache()  # a file for each dataset and split
     lacking = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in Q.FIELDS]))
     unreadable = first.where("_corrupt_record IS NOT NULL").select(F.concat(F.lit("Error reading "), "path").alias("issue"))
     fields = first.where("_corrupt_record IS NULL").withColumn("lack", lacking).where(F.size("lack") > 0).select(
