@@ -137,6 +137,14 @@ def mix_sources(
     report = (
         plan.join(per_cell, "cell", "left")
         .withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+        # The report holds only if every source gave its budget and no more than it may.
+        .withColumn(
+            "short",
+            F.when(
+                (F.col("drawn") >= F.col("whole") * F.col("tokens") + F.col("budget")) & (F.col("drawn") <= F.col("capacity")),
+                F.col("short"),
+            ).otherwise(F.raise_error(F.lit("a source gave another amount than its budget")).cast("boolean")),
+        )
         .withColumn("actual_permille", F.try_divide(F.col("drawn") * 1000.0, F.sum("drawn").over(_everything())))
         .select("source", "permille", "tokens", "wanted", "capacity", "short", "drawn", "actual_permille", F.coalesce("passes", F.lit(0)).alias("passes"))
     )

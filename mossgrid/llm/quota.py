@@ -115,7 +115,10 @@ def proportional_sample(
             "wanted",
             F.col("budget").alias("quota"),
             F.coalesce("drawn", F.lit(0)).alias("drawn"),
-            "short",
+            # The report holds only if every cell drew its quota.
+            F.when(F.coalesce("drawn", F.lit(0)) == F.col("budget"), F.col("short"))
+            .otherwise(F.raise_error(F.lit("a category drew another number of rows than its quota")).cast("long"))
+            .alias("short"),
         )
     )
     return sample, report
