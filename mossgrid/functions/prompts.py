@@ -79,3 +79,13 @@ def training_steps(n: Column, epochs: int, batch: int, accumulated: int) -> Colu
 
 def logging_step(steps: Column) -> Column:
     return F.greatest(F.lit(10), F.floor(steps / 100))
+
+
+def image_tokens(ids: Column, image_id: int) -> Column:
+    """Image tokens among the ids of a row."""
+    return F.size(F.filter(ids, lambda t: t == image_id))
+
+
+def hit_rate(hits: Column, misses: Column) -> Column:
+    """Share of look-ups that a cache answered; null before the first."""
+    return F.try_divide(hits.cast("double"), hits + misses)

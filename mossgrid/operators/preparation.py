@@ -176,3 +176,25 @@ def validation_report(spark: SparkSession, base: str) -> str:
     for r in rows:
         lines += [f"{r['split'].upper()}:", f"Total datasets: {len(r['names'])}", *[f"  - {x}" for x in r["names"]], ""]
     return "\n".join(lines)
+
+
+def batched_images(rows: DataFrame, batch: str, order: str, images: str = "images") -> DataFrame:
+    """(batch, images, counts): the images of each batch in one list, and how many each of
+    its rows has. A batch is bounded by its size in training."""
+    return (
+        rows.groupBy(batch)
+        .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(images).alias("i")))).alias("rows"))
+        .select(batch, F.flatten(F.transform("rows", lambda r: r["i"])).alias("images"), F.transform("rows", lambda r: F.size(r["i"])).alias("counts"))
+    )
+
+
+def running_mean(timings: DataFrame, order: str, value: str, group: list[str], last: int = 100) -> DataFrame:
+    """Adds ``mean``: the mean of the last timings of a group up to each row."""
+    frame = Window.partitionBy(*group).orderBy(order).rowsBetween(1 - last, Window.currentRow)
+    return timings.withColumn("mean", F.avg(value).over(frame))
+
+
+def missing_images(prepared: DataFrame, files: DataFrame, n: int = 3) -> DataFrame:
+    """Image paths of the first n samples that no longer exist; a check after saving."""
+    first = prepared.limit(n).select(F.explode("images").alias("path"))
+    return first.join(files.select("path"), "path", "left_anti")

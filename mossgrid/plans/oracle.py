@@ -342,3 +342,21 @@ SELECT *, num_examples - valid_examples AS skipped_examples FROM a""",
 ORACLE["assistant_split"] = (
     f"WITH f AS ({ORACLE['prompt_flatten']}) SELECT rec_id, instr(chat, {lit(ASSISTANT_MARKS[0])}) - 1 + {len(ASSISTANT_MARKS[0])} AS start FROM f"
 )
+ORACLE["instance_coco"] = f"""WITH {INST}, {inst_sums('model, threshold::DOUBLE AS threshold', 'threshold')},
+m AS (SELECT model, threshold, {F1} AS f, {PRECISION} AS p, {RECALL} AS r FROM s), k AS (SELECT model, count(*)::DOUBLE AS n FROM i GROUP BY model)
+SELECT model, round(coalesce(avg(f), 0), 6) AS average_f1, round(coalesce(avg(p), 0), 6) AS average_precision, round(coalesce(avg(r), 0), 6) AS average_recall,
+  round(coalesce(max(f) FILTER (threshold = 0.3), 0), 6) AS f1_score_at_03, round(coalesce(max(f) FILTER (threshold = 0.5), 0), 6) AS f1_score_at_05, any_value(n) AS valid_samples
+FROM k LEFT JOIN m USING (model) GROUP BY model"""
+ORACLE["path_resolve"] = f"""WITH q AS (SELECT rec_id, dataset, ({PATHS})[1] AS p FROM questions),
+f AS (SELECT dataset, lower(regexp_extract(path, '([^/]+)$', 1)) AS file, min(path) AS named FROM image_files GROUP BY ALL)
+SELECT rec_id, coalesce(e.path, f.named) AS image FROM q LEFT JOIN (SELECT DISTINCT path FROM image_files) e ON e.path = q.dataset || '/' || q.p
+LEFT JOIN f ON f.dataset = q.dataset AND f.file = {strip(r"lower(regexp_extract(q.p, '([^/\\]*)$', 1))")} WHERE p IS NOT NULL"""
+_KEY = lookup(tasks.SUBMISSION_KEYS, "TaskType", "classification")
+_LETTER = r"regexp_extract(x, '(?:^|[^\p{L}\p{N}_])([A-K])(?:$|[^\p{L}\p{N}_])', 1)"
+_LINES = rf"list_filter(list_transform(string_split(x, chr(10)), lambda l: regexp_replace({strip('l')}, '^[-•*\d.]+\s*', '')), lambda l: length(l) > 3)"
+_HITS = r"list_transform(regexp_extract_all(raw, '\[(\d+),\s*(\d+),\s*(\d+),\s*(\d+)\]'), lambda h: regexp_replace(h, '\s+', '', 'g'))"
+ORACLE["submit_answers"] = rf"""WITH s AS (SELECT pred_id, {_KEY} AS key, coalesce(Answer, '') AS raw, {strip("coalesce(Answer, '')")} AS x FROM predictions)
+SELECT pred_id, key, CASE key WHEN 'classification' THEN coalesce(nullif({_LETTER}, ''), x)
+  WHEN 'multi_label' THEN CASE WHEN len({_LINES}) > 0 THEN array_to_string({_LINES}, '; ') ELSE x END
+  WHEN 'detection' THEN CASE WHEN len({_HITS}) > 0 THEN array_to_string({_HITS}, '; ') ELSE x END
+  WHEN 'counting' THEN coalesce(TRY_CAST(nullif(regexp_extract(raw, '(\d+)', 1), '') AS BIGINT), 0)::VARCHAR ELSE x END AS answer FROM s"""
