@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,11 +108,11 @@ def split_values(df: DataFrame, terms: DataFrame, *, id_col: str, value_col: str
         raise ValueError(f"more than {MAX_TERMS} known values")
     known = [r["t"] for r in rows]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter, seen = Segmenter(known), {}
         for batch in batches:
             ids, places, values, flags = [], [], [], []
-            for key, text in zip(batch["id"], batch["field"], strict=True):
+            for key, text in zip(batch.column("id").to_pylist(), batch.column("field").to_pylist(), strict=True):
                 found = seen.get(text)
                 if found is None:
                     if len(seen) >= REMEMBERED:
@@ -123,8 +123,9 @@ def split_values(df: DataFrame, terms: DataFrame, *, id_col: str, value_col: str
                     places.append(place)
                     values.append(value)
                     flags.append(is_known)
-            yield pd.DataFrame({"id": ids, "pos": places, "val": values, "known": flags})
+            columns = [pa.array(ids, batch.column("id").type), pa.array(places, pa.int64()), pa.array(values, pa.string()), pa.array(flags, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "pos", "val", "known"])
 
     fields = df.select(F.col(id_col).alias("id"), F.col(value_col).cast("string").alias("field")).where("field IS NOT NULL")
     kind = fields.schema["id"].dataType.simpleString()
-    return fields.mapInPandas(run, f"id {kind}, pos long, val string, known boolean").withColumnRenamed("id", id_col)
+    return fields.mapInArrow(run, f"id {kind}, pos long, val string, known boolean").withColumnRenamed("id", id_col)
