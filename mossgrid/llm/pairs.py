@@ -18,7 +18,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -297,18 +297,19 @@ def broken_pairs(df: DataFrame, terms: DataFrame, *, id_col: str = "pred_id") ->
         raise ValueError(f"more than {MAX_TERMS} labels")
     labels = [r["term"] for r in rows]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = DefectFinder(labels)
         for batch in batches:
-            found = [finder.find(t, q, a) for t, q, a in zip(batch["task"], batch["q"], batch["a"], strict=True)]
-            out = pd.DataFrame({"id": batch["id"], "defect": found})
-            yield out[out["defect"].notna()]
+            columns = (batch.column(c).to_pylist() for c in ("task", "q", "a"))
+            found = pa.array([finder.find(t, q, a) for t, q, a in zip(*columns, strict=True)], pa.string())
+            rows = pa.RecordBatch.from_arrays([batch.column("id"), found], ["id", "defect"])
+            yield rows.filter(found.is_valid())
 
     pairs = df.select(
         F.col(id_col).alias("id"), category(F.col("TaskType")).alias("task"), F.col("Question").alias("q"), F.col("Answer").alias("a")
     )
     kind = pairs.schema["id"].dataType.simpleString()
-    return pairs.mapInPandas(run, f"id {kind}, defect string").withColumnRenamed("id", id_col)
+    return pairs.mapInArrow(run, f"id {kind}, defect string").withColumnRenamed("id", id_col)
 
 
 def defect_report(df: DataFrame, defects: DataFrame, *, id_col: str = "pred_id") -> DataFrame:
