@@ -190,6 +190,17 @@ def _sums(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def box_pairs(df: DataFrame) -> DataFrame:
+    """(pred_id, p_pos, r_pos, iou): every predicted box of a row with every reference box.
+
+    Pairs that are apart have zero; a box without four numbers has no overlap (null).
+    """
+    predicted = df.select("pred_id", "r_boxes", F.posexplode("p_boxes").alias("p_pos", "p"))
+    both = predicted.select("pred_id", "p_pos", "p", F.posexplode("r_boxes").alias("r_pos", "r"))
+    sound = (F.size("p") == 4) & (F.size("r") == 4)
+    return both.select("pred_id", "p_pos", "r_pos", F.when(sound, geometry.overlap(F.col("p"), F.col("r"))).alias("iou"))
+
+
 def box_matches(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Adds tp, n_pred, n_ref of each sample's boxes at one threshold."""
     return df.withColumns(

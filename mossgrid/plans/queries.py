@@ -394,6 +394,13 @@ def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     return v.select("pred_id", "p_boxes", F.posexplode("r_boxes").alias("pos", "r")).select("pred_id", "pos", rounded(iou).alias("iou")).where("iou > 0")
 
 
+@query
+def iou_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap of every predicted box with every reference box; iou_pairs has those of the
+    first predicted box only, as its SQL does."""
+    return E.box_pairs(values(spark, d, "detection")).withColumn("iou", rounded("iou"))
+
+
 @query
 def detection_f1(spark: SparkSession, d: str) -> DataFrame:
     m = E.with_ratios(E._sums(E.box_matches(values(spark, d, "detection")), ["model"]))
