@@ -1,7 +1,10 @@
 """Results that were partial once: every box, order, image and row of a bounded table."""
 
+import math
 import os
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from mossgrid.operators import evaluation as E
@@ -26,3 +29,24 @@ def test_query_has_later_boxes(spark):
     assert len(rows) == n and any(r["p_pos"] > 0 for r in rows)
     first = {(r["pred_id"], r["r_pos"], r["iou"]) for r in rows if r["p_pos"] == 0 and r["iou"]}
     assert first == {(r["pred_id"], r["pos"], r["iou"]) for r in QUERIES["iou_pairs"](spark, D).collect()}
+
+
+def test_bleu_of_four_orders(spark):
+    def score(texts):
+        means = [0.0] * 4
+        for p, r in texts:
+            for n in range(4):
+                count = lambda x: Counter(tuple(x[i : i + n + 1]) for i in range(len(x) - n))  # noqa: B023, E731
+                a, b = count(p), count(r)
+                means[n] += sum((a & b).values()) / max(1, sum(a.values())) / len(texts)
+        lp, lr = sum(len(p) for p, _ in texts), sum(len(r) for _, r in texts)
+        brevity = 1.0 if lp > lr else math.exp(1 - lr / lp) if lp else 0.0
+        return brevity * math.exp(sum(map(math.log, means)) / 4) if all(means) else 0.0
+
+    texts = defaultdict(list)
+    for r in values(spark, D, "report_generation").collect():
+        texts[r["model"]].append(tuple((r[c] or "").lower().split() for c in ("p_text", "r_text")))
+    got = {r["model"]: r["bleu_score"] for r in QUERIES["bleu_4"](spark, D).collect()}
+    assert got == pytest.approx({m: score(t) for m, t in texts.items()}, abs=2e-6)
+    long = QUERIES["task_metrics"](spark, D).where("metric = 'bleu_score'").collect()
+    assert got == pytest.approx({r["model"]: r["value"] for r in long}, abs=2e-6)
