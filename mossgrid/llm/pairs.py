@@ -242,14 +242,17 @@ class DefectFinder:
 
     def _broken(self, task: str, answer: str, said: list[str], options: dict[str, str], stated) -> str | None:
         bare = answer.strip()
-        if bare[0] in "[{":
+        # Boxes may come after a lead; other answers are lists from their first character only.
+        opened = re.search(r"[\[{]", bare) if "detection" in task else re.match(r"[\[{]", bare)
+        if opened:
             stack = []
-            for c in bare:
+            for c in bare[opened.start() :]:
                 if c in "[{":
                     stack.append(c)
                 elif c in "]}" and (not stack or stack.pop() + c not in ("[]", "{}")):
                     return "truncated"
-            return "truncated" if stack else None
+            if stack or not opened.start() or bare.rstrip(".!")[-1] in "]}":
+                return "truncated" if stack else None
         ended = bool(END.search(bare))
         if "report" in task:
             last = bare.rsplit("\n", 1)[-1].strip().lower()
