@@ -58,8 +58,17 @@ REFUSALS = [
     "no puedo", "lo siento", "no me es posible", "no estoy en condiciones", "no estoy autorizado", "como modelo", "como ia",
     "no doy", "no ofrezco", "no debo", "no me permiten", "me es imposible", "no soy capaz", "me niego", "debo rechazar",
 ]
-#: Longest answer, in words, that can be nothing but a refusal.
+#: Up to this length, in words, a declining phrase makes an answer a refusal; in a longer one
+#: every other sentence must also leave the question unanswered.
 REFUSAL_WORDS = 45
+# Words of sentences that explain a refusal, without accents.
+EXPLAINING = set(
+    "sorry apologize apologies unfortunately professional physician doctor specialist radiologist clinician expert consult policy "
+    "policies guidelines advice safety ai model assistant instead qualified trained training diagnosis request help understand "
+    "desole malheureusement specialiste medecin radiologue conseil consultez regles consignes modele "
+    "leider arzt arztin facharzt radiologe radiologin fachperson richtlinien modell sprachmodell beratung "
+    "lamentablemente medico especialista radiologo profesional consulte normas modelo ayuda".split()
+)
 
 # Words that occur in one of the languages only.
 STOPWORDS = {
@@ -87,6 +96,9 @@ WORD = re.compile(r"[^\W_]+")
 END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 OPTION = re.compile(r"(?:(?<=^)|(?<=[\s,;:(]))\(?([A-Za-z])\s?[).:]\s+(?=\S)")
 REPLY_LETTER = re.compile(r"(?:->|=>|→|:|\n)\s*\(?([A-Z])\)?[.)]?\s*$")
+SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
+#: A letter that ends a sentence: the option it states.
+LETTER = re.compile(r"\b([A-Z])\)?[.!]?$")
 STATED = re.compile(r"(?:^|\b(?:is|est|ist|es|answer|réponse|antwort|respuesta)\s*:?\s*)\(?([A-Z])\)?\s*[.:)]\s*(.*)$", re.S)
 
 
@@ -207,7 +219,7 @@ class DefectFinder:
             return None
         if text in PLACEHOLDERS and text not in self.labels:
             return "empty"
-        if len(said) <= REFUSAL_WORDS and self._refuses(answer):
+        if self._refuses(answer) and (len(said) <= REFUSAL_WORDS or not self._answers(task, answer, options)):
             return "refusal"
         stated = STATED.search(answer.strip()) if options else None
         if stated and stated[1] in options and " ".join(words(stated[2])) in ("", options[stated[1]]):
@@ -227,6 +239,25 @@ class DefectFinder:
         bare = f" {_bare(answer)} "
         return next(self.refusals.iter(bare), None) is not None
 
+    def _answers(self, task: str, answer: str, options: dict[str, str]) -> bool:
+        """Whether a sentence besides those that decline answers: it holds what the task asks
+        for, or does not explain the refusal."""
+        for sentence in SENTENCE.split(answer):
+            said = words(sentence)
+            if not said or self._refuses(sentence):
+                continue
+            text = f" {' '.join(said)} "
+            if options:
+                stated = STATED.search(sentence.strip()) or REPLY_LETTER.search(sentence) or LETTER.search(sentence.strip())
+                shown = bool(stated and stated[1] in options) or any(f" {o} " in text for o in options.values())
+            elif "multi label" in task:
+                shown = any(f" {o} " in text for o in self.labels)
+            else:
+                shown = any(c.isdigit() for c in sentence)
+            if shown or not EXPLAINING & set(_bare(sentence).split()):
+                return True
+        return False
+
     @staticmethod
     def _copied(question: str, said: list[str]) -> bool:
         asked = words(question)
