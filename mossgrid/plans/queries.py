@@ -266,20 +266,29 @@ def path_dedup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "image_files").withColumn("r", rank).where("r = 1").select("path", "file_id")
 
 
-@query
-def path_resolve(spark: SparkSession, d: str) -> DataFrame:
-    """Image of a question: the file of its whole path if listed, else of its name."""
-    q = table(spark, d, "questions").select("rec_id", "dataset", F.get(image_paths(F.col("ImageName")), F.lit(0)).alias("p")).where("p IS NOT NULL")
+def _resolved(spark: SparkSession, d: str, q: DataFrame) -> DataFrame:
+    """Adds the image of a row's dataset and path p: the file of the whole path if listed, else of its name."""
     whole = F.concat_ws("/", "dataset", "p")
     files = table(spark, d, "image_files").select("path", "dataset", file_name(F.col("path")).alias("file"))
     exact = files.select(F.col("path").alias("exact")).distinct()
     by_name = files.groupBy("dataset", "file").agg(F.min("path").alias("named"))
     tried = q.withColumns({"whole": whole, "file": file_name(F.col("p"))})
-    return (
-        tried.join(exact, tried["whole"] == exact["exact"], "left")
-        .join(by_name, ["dataset", "file"], "left")
-        .select("rec_id", F.coalesce("exact", "named").alias("image"))
-    )
+    joined = tried.join(exact, tried["whole"] == exact["exact"], "left").join(by_name, ["dataset", "file"], "left")
+    return joined.withColumn("image", F.coalesce("exact", "named"))
+
+
+@query
+def path_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """First image of a question; path_resolve_each has those of the whole list, as the SQL of this one stops at the first."""
+    q = table(spark, d, "questions").select("rec_id", "dataset", F.get(image_paths(F.col("ImageName")), F.lit(0)).alias("p")).where("p IS NOT NULL")
+    return _resolved(spark, d, q).select("rec_id", "image")
+
+
+@query
+def path_resolve_each(spark: SparkSession, d: str) -> DataFrame:
+    """Every image of a question with its place in the list, from 0; null where no file is found."""
+    q = table(spark, d, "questions").select("rec_id", "dataset", F.posexplode(image_paths(F.col("ImageName"))).alias("place", "p")).where("p IS NOT NULL")
+    return _resolved(spark, d, q).select("rec_id", "place", "image")
 
 
 @query

@@ -50,3 +50,14 @@ def test_bleu_of_four_orders(spark):
     assert got == pytest.approx({m: score(t) for m, t in texts.items()}, abs=2e-6)
     long = QUERIES["task_metrics"](spark, D).where("metric = 'bleu_score'").collect()
     assert got == pytest.approx({r["model"]: r["value"] for r in long}, abs=2e-6)
+
+
+def test_every_image_of_a_list(spark, tmp_path):
+    d = str(tmp_path)
+    rows = [(1, "k", '["a/x_1.png", "b/y_1.png", "gone.png"]'), (2, "k", "z_1.png"), (3, "k", None)]
+    spark.createDataFrame(rows, "rec_id long, dataset string, ImageName string").write.parquet(f"{d}/questions.parquet")
+    files = [("k/b/y_1.png", "k"), ("k/c/x_1.png", "k"), ("k/a/y_1.png", "k"), ("k/c/z_1.png", "k"), ("other/gone.png", "other")]
+    spark.createDataFrame(files, "path string, dataset string").write.parquet(f"{d}/image_files.parquet")
+    got = {(r["rec_id"], r["place"]): r["image"] for r in QUERIES["path_resolve_each"](spark, d).collect()}
+    assert got == {(1, 0): "k/c/x_1.png", (1, 1): "k/b/y_1.png", (1, 2): None, (2, 0): "k/c/z_1.png"}
+    assert {r["rec_id"]: r["image"] for r in QUERIES["path_resolve"](spark, d).collect()} == {i: v for (i, k), v in got.items() if k == 0}
