@@ -117,17 +117,19 @@ def related_records(df: DataFrame, id_col: str = "rec_id") -> DataFrame:
 #: there are at most as many of them.
 LARGE_ONE_IN = 2000
 BUCKETS = 1 << 12
+#: Most target splits that may be read to the driver.
+MAX_SPLITS = 1_000
 
 
 def grouped_splits(df: DataFrame, targets: DataFrame, id_col: str = "rec_id") -> DataFrame:
     """(id, group_key, split_name): whole groups, in shares as near to the targets as the
     groups allow, over all and within each TaskType."""
     spark = df.sparkSession
+    listed = targets.select("split_name", "target_permille").orderBy(F.desc("target_permille"), "split_name").limit(MAX_SPLITS + 1).collect()
+    if len(listed) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} target splits")
+    shares = [(r["split_name"], int(r["target_permille"] or 0)) for r in listed]
     parsed, groups = study_groups(df, id_col)
-    shares = [
-        (r["split_name"], int(r["target_permille"] or 0))
-        for r in targets.select("split_name", "target_permille").orderBy(F.desc("target_permille"), "split_name").limit(1000).collect()
-    ]
     whole = sum(p for _, p in shares) or 1
     keyed = cut_lineage(
         parsed.join(groups.select("study", "group_key"), "study", "left").select(
