@@ -5,43 +5,50 @@ verbatim in another record; that is, in a window of exactly ``length`` character
 does. Windows are the suffixes of all texts, cut at that depth of the suffix tree: two
 suffixes meet in a node as deep as ``length`` if their windows are equal.
 
-1. Equal texts are collapsed by fingerprint: each copy is shared as a whole.
-2. Suffixes are partitioned by a prefix of the tree's path. As a plain first prefix would
-   ship every suffix of the corpus, each window is filed under the prefix of ``length/2``
-   characters that is least by hash within it. Equal windows file under equal prefixes, at
-   the same place, and about two suffixes in a hundred carry such a prefix (an anchor).
-3. Anchors whose prefix occurs in one text only are dropped after counting; for the rest the
-   surrounding text, which holds all windows filed under the anchor, is cut out once.
-4. Groups of one prefix are packed into tasks. A group too large for memory is split by
-   longer prefixes, up to the full depth: its windows are grouped by Spark one by one.
-5. In a group, windows are named by their place and content; a name in two texts is a deep
-   node with leaves of two records. Names are hashes; within memory-sized groups equality
-   is then verified on the characters themselves, elsewhere names have 128 bits.
-
-Cases: null, empty and short texts share nothing. Repeated rows of one doc_id are one
-record. White space counts; characters are code points. Texts of any length are read whole.
+1. Suffixes are partitioned by a prefix of the tree's path. As a plain first prefix would
+   ship every suffix of the corpus, each window is filed under the run of ``length/2``
+   characters that is least by hash within it. Equal windows file under equal prefixes.
+   Neighbouring windows of one prefix form a stretch, which is named by its place: about two
+   for each hundred characters of common text, one for a whole periodic text.
+2. Prefixes that occur in one record only are dropped after counting; of the rest the text
+   of each stretch is cut out once, of equal texts for one of them only.
+3. Groups of one prefix are packed into tasks. In a group, windows are named by hash, a name
+   of two records is a deep node, and its windows are compared character by character.
+4. A group too large for memory is split by longer prefixes, level by level up to the full
+   depth. At each level equal texts collapse into one, in Spark and by their characters; what
+   no other record has is cut into shorter stretches, and goes on only where the characters
+   that all its windows have in common occur elsewhere.
+
+Cases: null, empty and short texts share nothing. Repeated rows of one id are one record; if
+its texts differ, the one with most shared characters counts. White space counts; characters
+are code points. Texts of any length are read whole. Equal texts are told by length and
+SHA-256; all other equality is that of characters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mossgrid.plans.runtime import cut_lineage, fingerprint, spread
+from mossgrid.plans.runtime import cut_lineage, spread
 
 LENGTH = 200
-#: Anchors of one prefix that are handled in memory (300 characters each).
-GROUP_ROWS = 4_000
-#: Anchors a task handles at a time, and anchors or characters it gives out at a time.
-CHUNK_ROWS, CHUNK_OUT = 2_000, 1_000_000
+#: Stretches of one prefix that are handled in memory, counted at one and a half lengths each.
+GROUP_ROWS = 8_000
+#: Characters that a task handles at a time: texts when they are cut, groups when compared.
+CUT_CHARS, GROUP_CHARS = 150_000, 600_000
+#: Characters that are compared or given out at a time.
+CHUNK = 4_000_000
+#: Windows of a stretch at each level of a large group.
+LEVELS = (128, 16, 4, 1)
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-BASE_2 = np.uint64(0xC2B2AE3D27D4EB4F | 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,177 +59,227 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        steps = np.full(n, base, dtype=np.uint64)
-        steps[0] = 1
-        return np.cumprod(steps, dtype=np.uint64)
+@cache
+def _code_words() -> np.ndarray:
+    """A random word for each code point."""
+    return _mix(np.arange(0x110000, dtype=np.uint64) + BASE)
+
 
+class _Powers:
+    """Powers of the base and of its inverse, as many as were asked for."""
 
-def _inverse(base: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(base), -1, 1 << 64))
+    size = 0
 
+    @classmethod
+    def up_to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > cls.size:
+            cls.size = max(n, 2 * cls.size, CUT_CHARS)
+            with np.errstate(over="ignore"):
+                cls.both = [
+                    np.cumprod(np.concatenate([[np.uint64(1)], np.full(cls.size - 1, b, np.uint64)]), dtype=np.uint64)
+                    for b in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))
+                ]
+        return cls.both[0][:n], cls.both[1][:n]
 
-def rolling(codes: np.ndarray, k: int, base: np.uint64 = BASE) -> np.ndarray:
-    """Hash of each run of k codes along the last axis, in linear time: differences of
-    prefix sums, brought to a common power. Arithmetic is modulo 2**64."""
-    n = codes.shape[-1]
+
+def rolling(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k codes, in linear time: differences of prefix sums, brought to a
+    common power. Arithmetic is modulo 2**64."""
+    n = len(codes)
     if n < k:
-        return np.zeros((*codes.shape[:-1], 0), dtype=np.uint64)
+        return np.zeros(0, np.uint64)
+    powers, inverse = _Powers.up_to(n)
     with np.errstate(over="ignore"):
-        sums = np.zeros((*codes.shape[:-1], n + 1), dtype=np.uint64)
-        np.cumsum(_mix(codes.astype(np.uint64) + base) * _powers(base, n), axis=-1, dtype=np.uint64, out=sums[..., 1:])
-        return _mix((sums[..., k:] - sums[..., :-k]) * _powers(_inverse(base), n - k + 1))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_code_words()[codes] * powers, dtype=np.uint64, out=sums[1:])
+        return _mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
 
 
-def _sliding(x: np.ndarray, w: int, best) -> np.ndarray:
-    """Least or greatest of each run of w values, by running values over blocks of w."""
+def _least(x: np.ndarray, w: int) -> np.ndarray:
+    """Least of each run of w values, by running values over blocks of w."""
     n = len(x) - w + 1
-    worst = np.uint64(0xFFFFFFFFFFFFFFFF) if best is np.minimum else np.uint64(0)
-    blocks = np.full(-(-len(x) // w) * w, worst, dtype=np.uint64)
+    blocks = np.full(-(-len(x) // w) * w, np.iinfo(np.uint64).max, np.uint64)
     blocks[: len(x)] = x
     blocks = blocks.reshape(-1, w)
-    ahead = best.accumulate(blocks, axis=1).ravel()
-    behind = best.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(behind[:n], ahead[w - 1 : w - 1 + n])
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def anchors(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of a text: the places whose prefix of ``length/2``
-    characters is the least by hash in some window."""
+def stretches(texts: list[str], length: int) -> tuple[np.ndarray, ...]:
+    """(text, begin, n, prefix) of the stretches of texts that are long enough: n
+    neighbouring windows from ``begin`` on have the same least prefix."""
     k = length // 2
-    w = length - k + 1
-    if len(codes) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    hashes = rolling(codes, k)
-    least = _sliding(hashes, w, np.minimum)
-    # A place is an anchor if the greatest least of the windows that hold it is its own.
-    padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
-    places = np.flatnonzero(_sliding(padded, w, np.maximum) == hashes)
-    return places, hashes[places]
-
-
-def _anchor_rows(length: int):
+    sizes = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(sizes) - sizes
+    hashes = rolling(codes_of("".join(texts)), k)
+    least = _least(hashes, length - k + 1)
+    # Windows that begin in one text and end in the next are no windows.
+    counts = sizes - length + 1
+    at = np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+    text = np.repeat(np.arange(len(texts)), counts)
+    prefix = least[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (prefix[1:] != prefix[:-1]) | (text[1:] != text[:-1])
+    begin = np.flatnonzero(new)
+    n = np.diff(np.append(begin, len(at)))
+    return text[begin], at[begin] - first[text[begin]], n, prefix[begin].view(np.int64)
+
+
+def simple_stretches(piece: str, begin: int, prefix: int, length: int) -> list[tuple[list[int], int, int, str]]:
+    """(begins, n, lead, text) of the parts of a stretch in which the first occurrence of the
+    prefix stays the same; ``lead`` is its distance from the first window. Equal parts, of
+    which periodic texts have many, are given once."""
+    hashes = rolling(codes_of(piece), length // 2).view(np.int64)
+    windows = np.arange(len(piece) - length + 1)
+    at = np.flatnonzero(hashes == prefix)
+    at = at[np.searchsorted(at, windows)]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    parts: dict[tuple[int, str], list[int]] = {}
+    for i, n in zip(first.tolist(), np.diff(np.append(first, len(at))).tolist(), strict=True):
+        parts.setdefault((int(at[i]) - i, piece[i : i + n + length - 1]), []).append(begin + i)
+    return [(begins, len(text) - length + 1, lead, text) for (lead, text), begins in parts.items()]
+
+
+def _portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes sum up to about ``most``."""
+    begin = held = 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= most:
+            yield begin, i + 1
+            begin, held = i + 1, 0
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def _stretch_rows(length: int, names: list[str]):
+    """Stretches of texts, with those of their columns that are named."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places, hashes = [], [], []
+            ids, versions = batch.column("id").to_numpy(), batch.column("v").to_numpy()
+            texts = batch.column("text").to_pylist()
+            for begin, end in _portions([len(t) for t in texts], CUT_CHARS):
+                of, at, n, prefix = stretches(texts[begin:end], length)
+                columns = {
+                    "id": ids[begin + of], "v": versions[begin + of], "begin": at.astype(np.int32), "n": n.astype(np.int32), "prefix": prefix,
+                }
+                yield pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in names], names)
 
-            def out() -> pa.RecordBatch:
-                arrays = [
-                    pa.array(np.concatenate(ids) if ids else np.empty(0, np.int64), pa.int64()),
-                    pa.array(np.concatenate(places) if places else np.empty(0, np.int64), pa.int32()),
-                    pa.array((np.concatenate(hashes) if hashes else np.empty(0, np.uint64)).view(np.int64), pa.int64()),
-                ]
-                return pa.RecordBatch.from_arrays(arrays, ["id", "at", "prefix"])
+    return run
 
-            size = 0
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                at, prefix = anchors(codes_of(text.as_py()), length)
-                ids.append(np.full(len(at), key, np.int64))
-                places.append(at)
-                hashes.append(prefix)
-                size += len(at)
-                if size > CHUNK_OUT:
-                    yield out()
-                    ids, places, hashes, size = [], [], [], 0
-            yield out()
 
-    return run
+PIECES = {"id": pa.int64(), "v": pa.int64(), "begin": pa.int32(), "n": pa.int32(), "prefix": pa.int64(), "piece": pa.string()}
+PARTS = {"id": pa.int64(), "v": pa.int64(), "begins": pa.list_(pa.int32()), "n": pa.int32(), "lead": pa.int32(), "piece": pa.string()}
 
 
-def _grid(frame: pd.DataFrame, length: int) -> np.ndarray:
-    """Contexts as rows of codes, anchors below each other, filled up with no character."""
-    room = length - length // 2
-    grid = np.full((len(frame), room + length), FILLING, dtype=np.uint32)
-    for row, (text, lead) in enumerate(zip(frame["context"], frame["lead"].tolist(), strict=True)):
-        codes = codes_of(text)
-        grid[row, room - lead : room - lead + len(codes)] = codes
-    return grid
+def _piece_rows(length: int, parts: bool):
+    """The text of each stretch, all its windows; or of its simple parts."""
+    schema = pa.schema(PARTS if parts else PIECES)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            size = 0
+
+            def out() -> pa.RecordBatch:
+                arrays = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+                return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+            for key, v, text, places in zip(*(batch.column(c) for c in ("id", "v", "text", "places")), strict=True):
+                key, v, text = key.as_py(), v.as_py(), text.as_py()
+                for p in places.as_py():
+                    begin, n = p["begin"], p["n"]
+                    piece = text[begin : begin + n + length - 1]
+                    if parts:
+                        rows.extend((key, v, *part) for part in simple_stretches(piece, begin, p["prefix"], length))
+                    else:
+                        rows.append((key, v, begin, n, p["prefix"], piece))
+                    size += len(piece)
+                    if size > CHUNK:
+                        yield out()
+                        rows, size = [], 0
+            if rows:
+                yield out()
 
-def _whole(mask: np.ndarray, length: int) -> np.ndarray:
-    """For each start, whether the next ``length`` columns all hold."""
-    sums = np.zeros((mask.shape[0], mask.shape[1] + 1), np.int32)
-    np.cumsum(mask, axis=1, out=sums[:, 1:])
-    return (sums[:, length:] - sums[:, :-length]) == length
+    return run
 
 
-def _windows(grid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset, name, second name) of all windows of the rows that lie in the text.
+def _equal(codes: np.ndarray, at: np.ndarray, partner: np.ndarray, length: int) -> np.ndarray:
+    """Whether each window equals its partner, by all characters.
 
-    Offset is the window's column, so equal windows of one prefix have equal offsets.
+    Neighbouring windows with neighbouring partners are compared as one span.
     """
-    names, others = rolling(grid, length), rolling(grid, length, BASE_2)
-    row, offset = np.nonzero(_whole(grid != FILLING, length))
-    return row, offset, names[row, offset], others[row, offset]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (partner[1:] != partner[:-1] + 1)
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(at))) + length - 1
+    good = np.empty(len(first), bool)
+    for begin, end in _portions(sizes.tolist(), CHUNK):
+        part, ends = sizes[begin:end], np.cumsum(sizes[begin:end])
+        step = np.arange(ends[-1]) - np.repeat(ends - part, part)
+        same = codes[np.repeat(at[first[begin:end]], part) + step] == codes[np.repeat(partner[first[begin:end]], part) + step]
+        good[begin:end] = np.logical_and.reduceat(same, ends - part)
+    return good[np.cumsum(new) - 1]
 
 
-def _merge(ids: np.ndarray, starts: np.ndarray, length: int) -> pd.DataFrame:
+def _merge(ids: np.ndarray, versions: np.ndarray, starts: np.ndarray, length: int) -> pd.DataFrame:
     """Window starts of texts as intervals: neighbouring windows are joined."""
-    if not len(ids):
-        return pd.DataFrame({"id": ids, "begin": starts, "end": starts}).astype("int64")
-    order = np.lexsort((starts, ids))
-    ids, starts = ids[order], starts[order]
+    order = np.lexsort((starts, versions, ids))
+    ids, versions, starts = ids[order], versions[order], starts[order]
     new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + 1)
+    new[1:] = (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1]) | (starts[1:] > starts[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(ids)) - 1
-    return pd.DataFrame({"id": ids[first], "begin": starts[first], "end": starts[last] + length})
-
-
-def _verified(grid: np.ndarray, row: np.ndarray, offset: np.ndarray, partner: np.ndarray, length: int) -> np.ndarray:
-    """Whether each window equals its partner row's window, by all characters."""
-    pairs, which = np.unique(row.astype(np.int64) * len(grid) + partner, return_inverse=True)
-    good = np.empty(len(row), bool)
-    order = np.argsort(which, kind="stable")
-    bounds = np.searchsorted(which[order], np.arange(0, len(pairs) + CHUNK_ROWS, CHUNK_ROWS))
-    for i, begin in enumerate(range(0, len(pairs), CHUNK_ROWS)):
-        part = pairs[begin : begin + CHUNK_ROWS]
-        equal = _whole(grid[part // len(grid)] == grid[part % len(grid)], length)
-        mine = order[bounds[i] : bounds[i + 1]]
-        good[mine] = equal[which[mine] - begin, offset[mine]]
-    return good
+    last = np.append(first, len(ids))[1:] - 1
+    return pd.DataFrame({"id": ids[first], "v": versions[first], "begin": starts[first], "end": starts[last] + length})
 
 
 def shared_in_groups(frame: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Intervals (id, begin, end) of the windows that occur in another text.
+    """Intervals (id, v, begin, end) of the windows that occur in another record.
 
-    ``frame``: id, at, prefix, lead, context, whole groups of prefixes.
+    ``frame``: id, v, begin, n, prefix, piece; whole groups of prefixes.
     """
-    grid = _grid(frame, length)
-    row, offset, name, other = _windows(grid, length)
-    ids = frame["id"].to_numpy()
-    # A window's name is (prefix, offset, both hashes): one sort finds the nodes.
+    n = frame["n"].to_numpy().astype(np.int64)
+    ids, sizes = frame["id"].to_numpy(), n + length - 1
+    codes = codes_of("".join(frame["piece"]))
+    row = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    at = (np.cumsum(sizes) - sizes)[row] + offset
     with np.errstate(over="ignore"):
-        key = _mix(name ^ (frame["prefix"].to_numpy().view(np.uint64)[row] + offset.astype(np.uint64) * BASE))
-    order = np.lexsort((other, key))
-    key, other, row, offset = key[order], other[order], row[order], offset[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
-    first = np.flatnonzero(new)
-    if not len(first):
-        return pd.DataFrame({"id": [], "begin": [], "end": []}).astype("int64")
-    owner = ids[row]
+        name = rolling(codes, length)[at] + _mix(frame["prefix"].to_numpy().view(np.uint64))[row]
+    # One sort brings the windows of a node together.
+    order = np.argsort(name, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = name[order[1:]] != name[order[:-1]]
+    first, owner = np.flatnonzero(new), ids[row[order]]
     low, high = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
     node = np.cumsum(new) - 1
+    # Each window of a deep node is compared with one of another record.
+    one_low, one_high = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+    is_low, is_high = (owner == low[node])[::-1], (owner == high[node])[::-1]
+    one_low[node[::-1][is_low]] = order[::-1][is_low]
+    one_high[node[::-1][is_high]] = order[::-1][is_high]
+    other = np.where(owner == low[node], one_high[node], one_low[node])
     deep = (low != high)[node]
-    # Each window is checked against a window of its node that belongs to another text.
-    lowest = np.full(len(first), -1)
-    highest = np.full(len(first), -1)
-    index = np.arange(len(key))
-    is_low, is_high = owner == low[node], owner == high[node]
-    lowest[node[is_low]] = index[is_low]
-    highest[node[is_high]] = index[is_high]
-    match = np.where(owner == low[node], highest[node], lowest[node])
-    keep = np.flatnonzero(deep)
-    good = _verified(grid, row[keep], offset[keep], row[match[keep]], length)
-    keep = keep[good]
-    starts = frame["at"].to_numpy()[row[keep]] + offset[keep] - (length - length // 2)
-    return _merge(owner[keep], starts.astype(np.int64), length)
+    window, partner, of = order[deep], other[deep], node[deep]
+    back = np.argsort(window)
+    window, partner, of = window[back], partner[back], of[back]
+    good = _equal(codes, at[window], at[partner], length)
+    if not good.all():  # unequal windows of one name: their nodes are told apart by the characters
+        texts: dict[bytes, set] = {}
+        doubtful = np.flatnonzero(np.isin(of, of[~good]))
+        keys = [codes[a : a + length].tobytes() for a in at[window[doubtful]].tolist()]
+        for key, i in zip(keys, ids[row[window[doubtful]]].tolist(), strict=True):
+            texts.setdefault(key, set()).add(i)
+        good[doubtful] = [len(texts[key]) > 1 for key in keys]
+    window = window[good]
+    starts = frame["begin"].to_numpy().astype(np.int64)[row[window]] + offset[window]
+    return _merge(ids[row[window]], frame["v"].to_numpy()[row[window]], starts, length)
 
 
 def _group_rows(length: int):
@@ -233,118 +290,135 @@ def _group_rows(length: int):
         for batch in batches:
             if not len(batch):
                 continue
-            frame = pd.concat([*held, batch], ignore_index=True)
+            held.append(batch)
+            if sum(map(len, held)) < 1000 and batch["prefix"].iloc[0] == batch["prefix"].iloc[-1]:
+                continue
+            frame = pd.concat(held, ignore_index=True)
             prefix = frame["prefix"].to_numpy()
             borders = np.flatnonzero(prefix[1:] != prefix[:-1]) + 1
+            sizes = np.cumsum(frame["n"].to_numpy().astype(np.int64) + length)
             begin = 0
             for i, border in enumerate(borders.tolist()):
-                if border - begin >= CHUNK_ROWS or i == len(borders) - 1:
+                if sizes[border - 1] - (sizes[begin - 1] if begin else 0) >= GROUP_CHARS or i == len(borders) - 1:
                     yield shared_in_groups(frame.iloc[begin:border].reset_index(drop=True), length)
                     begin = border
             held = [frame.iloc[begin:]]
         if held:
-            yield shared_in_groups(held[0].reset_index(drop=True), length)
+            yield shared_in_groups(pd.concat(held, ignore_index=True), length)
 
     return run
 
 
-def _window_rows(length: int):
-    """Windows of anchors of groups too large for memory, one row each."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for begin in range(0, len(batch), CHUNK_ROWS):
-                part = batch.iloc[begin : begin + CHUNK_ROWS].reset_index(drop=True)
-                row, offset, name, other = _windows(_grid(part, length), length)
-                starts = part["at"].to_numpy()[row] + offset - (length - length // 2)
-                yield pd.DataFrame(
-                    {"id": part["id"].to_numpy()[row], "begin": starts, "n1": name.view(np.int64), "n2": other.view(np.int64)}
-                )
+def _blocks(rows: DataFrame, size: int, length: int) -> DataFrame:
+    """Stretches cut into such of at most ``size`` windows, where the distance from the prefix
+    passes a multiple of it, and ``core``: what all windows between two multiples have in
+    common, at the same place of all texts."""
+    low, high = F.floor((F.col("lead") - F.col("n") + 1) / size), F.floor(F.col("lead") / size)
+    cut = rows.withColumn("b", F.explode(F.sequence(low, high)))
+    k = F.greatest(F.lit(0), F.col("lead") - (F.col("b") + 1) * size + 1)
+    end = F.least(F.col("n") - 1, F.col("lead") - F.col("b") * size)
+    placed = cut.withColumns({"k": k.cast("int"), "m": (end - k + 1).cast("int")})
+    core = F.substring(F.col("piece"), (F.col("lead") - F.col("b") * size + 1).cast("int"), F.lit(max(1, length - size + 1)))
+    return placed.select(
+        "id", "v", F.transform("begins", lambda x: x + F.col("k")).alias("begins"), F.col("m").alias("n"), (F.col("lead") - F.col("k")).alias("lead"),
+        F.substring(F.col("piece"), F.col("k") + 1, F.col("m") + length - 1).alias("piece"), "done", core.alias("core"),
+    )
 
-    return run
 
+def _by_text(rows: DataFrame, text: str) -> DataFrame:
+    """One row for each text: least and greatest id, and whether any or all rows are done."""
+    return rows.groupBy(F.xxhash64(text).alias("h"), text).agg(
+        F.min("id").alias("a"), F.max("id").alias("z"), F.max("done").alias("some"), F.min("done").alias("all"),
+        F.min("lead").alias("lead"), F.min("n").alias("n"),
+    )
 
-def _context_rows(length: int):
-    """Cuts the text around each anchor: all windows that may be filed under it."""
-    room = length - length // 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("id", pa.int64()), ("at", pa.int64()), ("prefix", pa.int64()), ("large", pa.bool_()), ("lead", pa.int64()), ("context", pa.string())]
-        )
-        for batch in batches:
-            rows: list[tuple] = []
-            for key, text, places in zip(
-                batch.column("id").to_pylist(), batch.column("text"), batch.column("places").to_pylist(), strict=True
-            ):
-                text = text.as_py()
-                for p in places:
-                    at = p["at"]
-                    first = max(0, at - room)
-                    rows.append((key, at, p["prefix"], p["large"], at - first, text[first : at + length]))
-                if len(rows) * length > CHUNK_OUT * 10:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+def shared_in_large_groups(pieces: DataFrame, length: int) -> DataFrame:
+    """Intervals of the windows that occur in another record, for groups of any size.
 
-    return run
+    ``pieces``: id, v, begins, n, lead, piece. A text found in two records is done: all its
+    windows are shared. It goes on once, for texts that have some of its windows only.
+    """
+    found: list[DataFrame] = []
+    columns = ["id", "v", "begins", "n", "lead", "piece", "done"]
+    rows = cut_lineage(_blocks(pieces.withColumn("done", F.lit(False)), LEVELS[0], length).select(*columns))
+    for size in (*LEVELS[1:], 0):
+        texts = _by_text(rows, "piece").withColumn("shared", (F.col("a") != F.col("z")) | F.col("some"))
+        placed = rows.withColumn("h", F.xxhash64("piece")).join(texts.select("h", "piece", "shared"), ["h", "piece"]).where("NOT done")
+        begins = placed.where("shared").select("id", "v", F.explode(F.col("begins").cast("array<bigint>")).alias("begin"), "n")
+        found.append(begins.select("id", "v", "begin", (F.col("begin") + F.col("n") + (length - 1)).alias("end")))
+        if not size:
+            break
+        stand_ins = texts.where("shared").select(
+            F.col("a").alias("id"), F.lit(0).cast("long").alias("v"), F.array(F.lit(0)).alias("begins"), "n", "lead", "piece", F.lit(True).alias("done")
+        )
+        longer = placed.where("NOT shared").select(*columns).unionByName(stand_ins)
+        cores = _blocks(longer, size, length)
+        # Only what occurs elsewhere too, and isn't all done, goes on.
+        kept = _by_text(cores, "core").where("(a <> z OR some) AND NOT all").select("h", "core")
+        rows = cut_lineage(cores.withColumn("h", F.xxhash64("core")).join(kept, ["h", "core"], "left_semi").select(*columns))
+        if rows.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
 
 
-#: No character has this code.
-FILLING = 0x110000
-INTERVALS = "id long, begin long, end long"
+INTERVALS = "id long, v long, begin long, end long"
 
 
 def shared_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, shared_chars) of the texts with at least one shared span."""
     if length < 4:
         raise ValueError("spans are at least 4 characters long")
-    t1, t2 = fingerprint(F.col("text"))
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(
-        F.length("text") >= length
-    )
-    marks = texts.select("id", t1.alias("t1"), t2.alias("t2"), F.length("text").cast("long").alias("n"))
-    classes = cut_lineage(marks.groupBy("t1", "t2", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")))
-    # Copies of one text: all of it is shared. The first of them stands for it below.
-    copies = (
-        marks.join(classes.where("first <> last").select("t1", "t2", "n"), ["t1", "t2", "n"])
-        .groupBy("id")
-        .agg(F.max("n").alias("shared_chars"))
+    texts = (
+        df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        .where(F.length("text") >= length)
+        .select("id", F.xxhash64("text").alias("v"), "text")
     )
-    distinct = spread(
-        texts.join(classes.select(F.col("first").alias("id")), "id", "left_semi"), "id"
+    marks = texts.select("id", "v", F.unhex(F.sha2("text", 256)).alias("digest"), F.length("text").cast("long").alias("size"))
+    classes = cut_lineage(
+        marks.groupBy("digest", "size").agg(F.min(F.struct("id", "v")).alias("first"), F.max("id").alias("last"))
     )
-    found = cut_lineage(distinct.mapInArrow(_anchor_rows(length), "id long, at int, prefix long"))
-    groups = (
-        found.groupBy("prefix")
-        .agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("rows"))
-        .where("a <> b")
-        .select("prefix", (F.col("rows") > GROUP_ROWS).alias("large"))
+    # Equal texts: all of each is shared. The first of them stands for it below.
+    equal = classes.where(F.col("first.id") != F.col("last")).select("digest", "size")
+    copies = marks.join(equal, ["digest", "size"]).select("id", F.col("size").alias("shared_chars"))
+
+    def runs(*names: str) -> DataFrame:
+        kinds = {"id": "long", "v": "long", "begin": "int", "n": "int", "prefix": "long"}
+        return texts.mapInArrow(_stretch_rows(length, list(names)), ", ".join(f"{c} {kinds[c]}" for c in names))
+
+    shared = (
+        runs("id", "n", "prefix")
+        .groupBy("prefix")
+        .agg(F.min("id").alias("a"), F.max("id").alias("z"), F.sum(F.col("n") + (length - 1)).alias("chars"))
+        .where("a <> z")
     )
-    per_text = found.join(groups, "prefix").groupBy("id").agg(
-        F.collect_list(F.struct("at", "prefix", "large")).alias("places")  # at most as many as the text has anchors
-    )
-    contexts = cut_lineage(
-        spread(texts.join(per_text, "id"), "id").mapInArrow(
-            _context_rows(length), "id long, at long, prefix long, large boolean, lead long, context string"
+    groups = cut_lineage(shared.select("prefix", (F.col("chars") > GROUP_ROWS * length * 3 // 2).alias("large")))
+
+    def pieces(large: bool) -> DataFrame:
+        """The texts of the stretches of the groups of one kind, as PIECES or as PARTS."""
+        wanted = groups.where(F.col("large") == large).select("prefix")
+        per_text = (
+            runs("id", "v", "begin", "n", "prefix")
+            .join(wanted, "prefix")
+            .distinct()
+            .groupBy("id", "v")
+            .agg(F.collect_list(F.struct("begin", "n", "prefix")).alias("places"))  # as many as the text has
+            .join(classes.select("first.id", "first.v"), ["id", "v"], "left_semi")
         )
-    )
-    packed = spread(contexts.where("NOT large").drop("large"), "prefix").sortWithinPartitions("prefix")
+        once = texts.groupBy("id", "v").agg(F.first("text").alias("text"))  # repeated rows
+        kinds = "begins array<int>, n int, lead int" if large else "begin int, n int, prefix long"
+        return once.join(per_text, ["id", "v"]).mapInArrow(_piece_rows(length, large), f"id long, v long, {kinds}, piece string")
+
+    packed = spread(pieces(False), "prefix").sortWithinPartitions("prefix")
     intervals = packed.mapInPandas(_group_rows(length), INTERVALS)
-    windows = spread(contexts.where("large"), "id", "at").mapInPandas(
-        _window_rows(length), "id long, begin long, n1 long, n2 long"
-    )
-    deep = windows.groupBy("n1", "n2").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b")
-    split = windows.join(deep.select("n1", "n2"), ["n1", "n2"]).select(
-        "id", "begin", (F.col("begin") + length).alias("end")
-    )
-    before = Window.partitionBy("id").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.greatest("begin", F.coalesce(F.max("end").over(before), F.col("begin")))
+    if not groups.where("large").isEmpty():
+        intervals = intervals.unionByName(shared_in_large_groups(pieces(True), length))
+    before = Window.partitionBy("id", "v").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    reached: Column = F.greatest("begin", F.coalesce(F.max("end").over(before), F.col("begin")))
     spans = (
-        intervals.unionByName(split)
-        .withColumn("gain", F.greatest(F.col("end") - reached, F.lit(0)))
-        .groupBy("id")
+        intervals.withColumn("gain", F.greatest(F.col("end") - reached, F.lit(0)))
+        .groupBy("id", "v")
         .agg(F.sum("gain").alias("shared_chars"))
+        .select("id", "shared_chars")
     )
-    return spans.join(copies.select("id"), "id", "left_anti").unionByName(copies).withColumnRenamed("id", id_col)
+    return spans.unionByName(copies).groupBy("id").agg(F.max("shared_chars").alias("shared_chars")).withColumnRenamed("id", id_col)
