@@ -11,47 +11,63 @@ Splits are then given to whole components: large ones first, the rest in hash or
 the TaskType that most of their records have.
 
 Cases: a record without image is in no group and gets a split by its own hash. A study in a
-single record forms a group of one. Repeated rows count. Empty tables give empty results.
+single record forms a group of one. Repeated rows count. Empty tables give empty results;
+without target splits, or with shares of zero only, every record's split is null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mossgrid.functions.fields import category, study_keys
 from mossgrid.plans.runtime import cut_lineage
 
 
+#: A hub is a node with at least so many links and at least this share (one in so many) of
+#: all links; there are at most as many of them. Its links are spread over all tasks.
+HUB_LINKS, HUB_ONE_IN = 10_000, 1_000
+
+
 def _rank(node: str):
     return F.struct(F.xxhash64(node), F.col(node))
 
 
+class Adjacency:
+    """Links in both directions, hash-partitioned by their first node; those of hubs apart."""
+
+    def __init__(self, pairs: DataFrame) -> None:
+        self.links = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        least = max(HUB_LINKS, -(-self.links.count() // HUB_ONE_IN))
+        hubs = self.links.groupBy("a").count().where(F.col("count") >= least).select("a").collect()  # at most HUB_ONE_IN
+        self.hubs = [r["a"] for r in hubs]
+        self.plain = cut_lineage(self.links.where(~F.col("a").isin(self.hubs)).repartition("a"))
+
+    def of(self, frontier: DataFrame) -> DataFrame:
+        """(node, seed) of the neighbours of the frontier's nodes (a, seed)."""
+        met = self.plain.join(frontier, "a")
+        if self.hubs:
+            few = F.broadcast(frontier.where(F.col("a").isin(self.hubs)))  # a row for each hub at most
+            met = met.unionByName(self.links.where(F.col("a").isin(self.hubs)).join(few, "a"))
+        return met.groupBy(F.col("b").alias("node")).agg(F.min("seed").alias("seed"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of the links (a, b); label is one node of the component.
 
     Rounds of a level: the longest falling path, O(log n) expected. Levels: each keeps at
     most half of the nodes as seeds. Nothing but emptiness is read to the driver.
     """
-    pairs = links.where("a <> b").select("a", "b")
-    adjacency = cut_lineage(
-        pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .distinct()
-        .repartition("a")
-    )
-    if adjacency.isEmpty():
-        return adjacency.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    lowest = adjacency.groupBy("a").agg(F.min(_rank("b")).alias("low"))
+    adjacency = Adjacency(links.where("a <> b").select("a", "b"))
+    if adjacency.links.isEmpty():
+        return adjacency.links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    lowest = adjacency.links.groupBy("a").agg(F.min(_rank("b")).alias("low"))
     reached = cut_lineage(
         lowest.where(_rank("a") < F.col("low")).select(F.col("a").alias("node"), F.col("a").alias("seed"))
     )
     frontier = reached
     while not frontier.isEmpty():
-        met = (
-            adjacency.join(frontier.withColumnRenamed("node", "a"), "a")
-            .groupBy(F.col("b").alias("node"))
-            .agg(F.min("seed").alias("seed"))
-        )
+        met = adjacency.of(frontier.withColumnRenamed("node", "a"))
         frontier = cut_lineage(met.join(reached, "node", "left_anti"))
         reached = reached.unionByName(frontier)
     reached = cut_lineage(reached)
@@ -59,7 +75,7 @@ def components(links: DataFrame) -> DataFrame:
         reached.select(F.col("node").alias(n), F.col("seed").alias(s)) for n, s in (("a", "sa"), ("b", "sb"))
     )
     collisions = (
-        adjacency.where("a < b")
+        adjacency.links.where("a < b")
         .join(left, "a")
         .join(right, "b")
         .where("sa <> sb")
@@ -129,59 +145,82 @@ def grouped_splits(df: DataFrame, targets: DataFrame, id_col: str = "rec_id") ->
     if len(listed) > MAX_SPLITS:
         raise ValueError(f"more than {MAX_SPLITS} target splits")
     shares = [(r["split_name"], int(r["target_permille"] or 0)) for r in listed]
+    whole = sum(p for _, p in shares)
     parsed, groups = study_groups(df, id_col)
-    whole = sum(p for _, p in shares) or 1
+    if not whole:
+        named = parsed.join(groups.select("study", "group_key"), "study", "left")
+        return named.select(F.col("id").alias(id_col), "group_key", F.lit(None).cast("string").alias("split_name"))
     keyed = cut_lineage(
         parsed.join(groups.select("study", "group_key"), "study", "left").select(
-            "id", "group_key", F.coalesce("group_key", F.concat(F.lit("\u0001"), F.col("id").cast("string"))).alias("unit"), "task"
+            "id", "group_key", F.coalesce("group_key", F.concat(F.lit("\u0001"), F.col("id").cast("string"))).alias("unit"),
+            F.coalesce("task", F.lit("")).alias("task"),
         )
-    )
-    per_task = keyed.groupBy("unit", "task").agg(F.count("*").alias("n"))
+    )
+    per_task = cut_lineage(keyed.groupBy("unit", "task").agg(F.count("*").alias("n")))
     units = cut_lineage(
         per_task.groupBy("unit")
         .agg(F.sum("n").alias("n"), F.max(F.struct("n", "task")).alias("most"))
-        .select("unit", "n", F.coalesce("most.task", F.lit("")).alias("stratum"), F.xxhash64("unit").alias("h"))
+        .select("unit", "n", F.col("most.task").alias("stratum"), F.xxhash64("unit").alias("h"))
     )
     total = units.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // LARGE_ONE_IN))
-    is_large = F.col("n") >= max(2, least)
-    large: dict[str, dict[str, int]] = {}  # at most LARGE_ONE_IN units, by their rows of each task
-    for r in per_task.join(units.where(is_large).select("unit"), "unit").collect():
-        large.setdefault(r["unit"], {})[r["task"] or ""] = r["n"]
-    room: dict[tuple, float] = {}
-    for r in per_task.groupBy("task").agg(F.sum("n").alias("n")).collect():
-        for name, permille in shares:
-            room[r["task"] or "", name] = r["n"] * permille / whole
-    placed = []
-    for unit, rows in sorted(large.items(), key=lambda u: (-sum(u[1].values()), u[0])):
-        name = max(shares, key=lambda s: (sum(n * room[task, s[0]] for task, n in rows.items()), s[1]))[0]
-        for task, n in rows.items():
-            room[task, name] -= n
-        placed.append((unit, name))
+    split_large = spark.createDataFrame(_place_large(per_task, units, shares, total), "unit string, split_name string")
     # The rest by hash order: running sums over buckets of the hash, at most BUCKETS a
     # stratum, and ranked rows only within a bucket.
-    small = units.where(~is_large).withColumn("bucket", F.shiftrightunsigned("h", 52))
+    small = units.join(split_large, "unit", "left_anti").withColumn("bucket", F.shiftrightunsigned("h", 52))
     per_bucket = small.groupBy("stratum", "bucket").agg(F.sum("n").alias("bn"))
     before = Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.withColumn("start", F.coalesce(F.sum("bn").over(before), F.lit(0)))
     inside = Window.partitionBy("stratum", "bucket").orderBy("h", "unit").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("n") / 2
-    bounds = []
-    for r in small.groupBy("stratum").agg(F.sum("n").alias("n")).collect():
-        stratum, n_small, at = r["stratum"], r["n"], 0.0
-        left = {name: max(0.0, room[stratum, name]) for name, _ in shares}
-        have = sum(left.values()) or 1.0
-        for name, _ in shares:
-            bounds.append((stratum, name, at, at + left[name] / have * n_small))
-            at = bounds[-1][3]
-        if shares:
-            bounds[-1] = (*bounds[-1][:3], float("inf"))
-    limits = spark.createDataFrame(bounds, "stratum string, split_name string, low double, high double")
     ordered = small.join(starts.drop("bn"), ["stratum", "bucket"]).withColumn("mid", middle)
-    split_small = (
-        ordered.join(F.broadcast(limits), "stratum")
-        .where((F.col("mid") >= F.col("low")) & (F.col("mid") < F.col("high")))
-        .select("unit", "split_name")
+    # Each stratum has one row with the upper bounds of all splits.
+    ranges = _ranges(per_task, per_bucket, split_large, shares)
+    split_small = ordered.join(ranges, "stratum").select(
+        "unit",
+        F.element_at(F.filter("ranges", lambda r: F.col("mid") < r["high"]), 1)["split_name"].alias("split_name"),
     )
-    split_large = spark.createDataFrame(placed, "unit string, split_name string")
     return keyed.join(split_small.unionByName(split_large), "unit").select(F.col("id").alias(id_col), "group_key", "split_name")
+
+
+def _place_large(per_task: DataFrame, units: DataFrame, shares: list[tuple[str, int]], total: int) -> list[tuple[str, str]]:
+    """Splits of the components that hold a LARGE_ONE_IN-th of all rows or more: each goes,
+    the largest first, where most room for its tasks is left. Tasks with less than a
+    thousandth of all rows count as one here, so the tables on the driver are bounded."""
+    tasks = per_task.groupBy("task").agg(F.sum("n").alias("n"))
+    pooled = tasks.select("task", "n", F.when(F.col("n") * 1000 >= total, F.col("task")).otherwise("").alias("pool"))
+    heavy = units.where(F.col("n") >= max(2, -(-total // LARGE_ONE_IN))).select("unit")
+    large: dict[str, dict[str, int]] = {}
+    for r in per_task.join(heavy, "unit").join(pooled.select("task", "pool"), "task").groupBy("unit", "pool").agg(F.sum("n").alias("n")).collect():
+        large.setdefault(r["unit"], {})[r["pool"]] = r["n"]
+    whole, room = sum(p for _, p in shares), {}
+    for r in pooled.groupBy("pool").agg(F.sum("n").alias("n")).collect():
+        room |= {(r["pool"], name): r["n"] * permille / whole for name, permille in shares}
+    placed = []
+    for unit, rows in sorted(large.items(), key=lambda u: (-sum(u[1].values()), u[0])):
+        name = max(shares, key=lambda s: (sum(n * room[task, s[0]] for task, n in rows.items()), s[1]))[0]
+        for task, n in rows.items():
+            room[task, name] -= n
+        placed.append((unit, name))
+    return placed
+
+
+def _ranges(per_task: DataFrame, per_bucket: DataFrame, split_large: DataFrame, shares: list[tuple[str, int]]) -> DataFrame:
+    """(stratum, ranges): where in the order of a stratum's small components each split ends,
+    in the order of ``shares``; what large components took of a task is left out."""
+    whole = sum(p for _, p in shares)
+    tasks = per_task.groupBy(F.col("task").alias("stratum")).agg(F.sum("n").alias("n"))
+    taken = per_task.join(split_large, "unit").groupBy(F.col("task").alias("stratum"), "split_name").agg(F.sum("n").alias("taken"))
+    taken = taken.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("split_name", "taken"))).alias("taken"))
+    left = lambda name, permille: F.greatest(F.lit(0.0), F.col("n") * (permille / whole) - F.coalesce(F.try_element_at("taken", F.lit(name)), F.lit(0)))
+    room = tasks.join(taken, "stratum", "left").select("stratum", F.array(*[left(*s) for s in shares]).alias("room"))
+    sizes = per_bucket.groupBy("stratum").agg(F.sum("bn").alias("small"))
+    names = F.array(*[F.lit(name) for name, _ in shares])
+    have = F.aggregate("room", F.lit(0.0), lambda a, x: a + x)
+
+    def upto(i: Column) -> Column:
+        held = F.aggregate(F.slice("room", 1, i + 1), F.lit(0.0), lambda a, x: a + x)
+        return F.when(i == len(shares) - 1, float("inf")).otherwise(F.coalesce(F.try_divide(held, have) * F.col("small"), F.lit(0.0)))
+
+    return room.join(sizes, "stratum").select(
+        "stratum", F.transform(names, lambda name, i: F.struct(name.alias("split_name"), upto(i).alias("high"))).alias("ranges")
+    )
