@@ -9,8 +9,9 @@ two numbers stay two numbers. In ``ImageName`` only letter case, outer blanks, a
 ``./`` and kind and number of slashes do not count, and one name equals a list of it.
 
 Cases: a null line, a line that is no JSON and a JSON value that is no object belong to no
-group. A null value differs from an absent key and from an empty text. Repeated rows of one
-raw_id count as copies but are reported once.
+group. A null value differs from an absent key and from an empty text. A key that an object
+repeats has its last value. A minus sign is a sign directly before its number only. Repeated
+rows of one raw_id count as copies but are reported once.
 """
 
 from __future__ import annotations
@@ -49,7 +50,12 @@ def with_canonical_text(lines: DataFrame, line: str = "line") -> DataFrame:
     One projection a step, each column used more than once being computed in a step of its
     own, so that every line is parsed once and scanned once by each pattern.
     """
-    objects = lines.where(F.schema_of_variant(F.try_parse_json(F.col(line))).startswith("OBJECT"))
+    parsed = lines.withColumn(
+        "__parsed", F.map_entries(F.from_json(F.col(line), "map<string,string>", {"allowSingleQuotes": "false"}))
+    ).where("__parsed IS NOT NULL")
+    names = F.transform("__parsed", lambda e: e["key"])
+    last = F.filter("__parsed", lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size("__parsed")), e["key"]))
+    objects = parsed.withColumn("__objects", F.when(F.size(F.array_distinct(names)) < F.size(names), last).otherwise(F.col("__parsed")))
     marks = f"{KEY}{ENTRY}{NEXT}{SIGN}{POINT}{BORDER}{NULL}"
     bare = lambda text: F.translate(F.lower(text), marks, " " * len(marks))
     kept = lines.columns
@@ -57,7 +63,7 @@ def with_canonical_text(lines: DataFrame, line: str = "line") -> DataFrame:
         *kept,
         F.sort_array(
             F.transform(
-                F.map_entries(F.from_json(F.col(line), "map<string,string>")),
+                "__objects",
                 lambda e: F.struct(
                     F.regexp_replace(bare(e["key"]), rf"[^{WORDLIKE}]+", "").alias("k"), e["value"].alias("v")
                 ),
