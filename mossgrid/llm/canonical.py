@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mossgrid.functions.fields import strip
-from mossgrid.plans.runtime import cut_lineage, fingerprint
+from mossgrid.plans.runtime import fingerprint, written
 
 # Fixed marks inside canonical texts: key, end of entry, next image, sign, decimal point,
 # number border, null.
@@ -91,22 +91,18 @@ def with_canonical_text(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def survivors(df: DataFrame, id_col: str = "raw_id", text_col: str = "record") -> DataFrame:
-    """Distinct lines with first id, count, and the digest of their canonical text.
-
-    The digest (SHA-256 of the whole canonical text) stands for the text, so that what is
-    written and shuffled next does not grow with the length of the records.
-    """
+    """Distinct lines with first id, count, fingerprint and canonical text."""
     lines = df.select(F.col(id_col).cast("long").alias("raw_id"), F.col(text_col).alias("line")).where("line IS NOT NULL")
     distinct = lines.groupBy("line").agg(F.min("raw_id").alias("raw_id"), F.count("*").alias("n"))
     l1, l2 = fingerprint(F.col("line"))
     return with_canonical_text(distinct).select(
-        "raw_id", "n", l1.alias("l1"), l2.alias("l2"), F.unhex(F.sha2("canonical", 256)).alias("digest")
+        "raw_id", "n", l1.alias("l1"), l2.alias("l2"), "canonical"
     )
 
 
 def collapse(survived: DataFrame) -> DataFrame:
-    """One row for each record: digest, first_id, n_copies, n_writings."""
-    return survived.groupBy("digest").agg(
+    """One row for each record: canonical, first_id, n_copies, n_writings."""
+    return survived.groupBy("canonical").agg(
         F.min("raw_id").alias("first_id"), F.sum("n").alias("n_copies"), F.count("*").alias("n_writings")
     )
 
@@ -118,9 +114,9 @@ def formatting_duplicates(df: DataFrame, id_col: str = "raw_id", text_col: str =
     looked up in the input again, by fingerprint. Hot lines and hot records sit on the
     probed side of plain inner joins, where AQE splits skewed partitions.
     """
-    survived = cut_lineage(survivors(df, id_col, text_col))
-    groups = collapse(survived).where("n_copies > 1").select("digest", "first_id")
-    placed = survived.join(groups, "digest")
+    survived = written(survivors(df, id_col, text_col))
+    groups = collapse(survived).where("n_copies > 1").select("canonical", "first_id")
+    placed = survived.join(groups, "canonical")
     once = placed.where("n = 1").select("first_id", "raw_id")
     often = placed.where("n > 1").select("l1", "l2", "first_id")
     l1, l2 = fingerprint(F.col(text_col))
