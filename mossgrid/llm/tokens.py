@@ -1,11 +1,14 @@
 """Encoding of whole corpora with a public byte-level tokenizer.
 
 Forced boundaries: a pair of bytes that occurs inside no token of the vocabulary can be
-bridged by no merge, so a text may be cut there and its fragments encoded on their own.
-Cuts are made before white space: where a character that is no white space precedes, the
-tokenizer's own pattern ends a piece as well; within a run of white space the pattern takes
-all but the last character as one piece wherever the run is cut. Fragments are words with
-the white space before them. Corpora repeat them, so each task encodes a fragment once.
+bridged by no merge, so a text may be cut there and its fragments encoded on their own. The
+tokenizer also splits texts by a pattern before it merges, so a cut must leave that alone.
+Two kinds do. Before white space: where a character that is no white space precedes, the
+pattern ends a piece as well; within a run of white space it takes all but the last
+character as one piece wherever the run is cut. And between letters, digits and symbols of
+one byte, where the pattern ends a piece unless an apostrophe stands there. Fragments are
+words, numbers and symbols with the white space before them. Corpora repeat them, so each
+task encodes a fragment once.
 
 Cases: a null and an empty text have no ids. The strings of special tokens are ordinary
 text. Texts and fragments of any length are encoded whole. Repeated rows are kept.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from collections.abc import Iterator
 from itertools import chain
 
@@ -45,17 +49,34 @@ def inner_pairs(vocabulary: list[str]) -> set[tuple[int, int]]:
     return pairs
 
 
+def cuttable(pairs: set[tuple[int, int]]) -> list[str]:
+    """Letters, digits and symbols of one byte that no token joins with one of another of
+    these kinds or with white space behind it. An apostrophe is left out: the pattern takes
+    it together with some letters."""
+    kinds = [string.ascii_letters, string.digits, string.punctuation.replace("'", "")]
+
+    def free(c: str, kind: str) -> bool:
+        others = [ord(o) for k in kinds if k != kind for o in k]
+        return not any((ord(c), o) in pairs or (o, ord(c)) in pairs for o in others) and not any((ord(c), ord(w)) in pairs for w in WHITE)
+
+    return ["".join(c for c in kind if free(c, kind)) for kind in kinds]
+
+
 def cut_pattern(vocabulary: list[str]) -> re.Pattern:
     """A pattern whose matches are the fragments between forced boundaries.
 
-    A fragment is a run of white space and what follows it up to the next white space. No
-    cut is made after a character whose last byte some token joins with white space.
+    A fragment is a run of white space and what follows it up to the next boundary. No cut is
+    made after a character whose last byte some token joins with white space.
     """
     pairs, white = inner_pairs(vocabulary), [ord(c) for c in WHITE]
     joined = sorted({b for b in range(256) if b not in white and any((b, w) in pairs for w in white)})
     inside = re.escape(WHITE)
+    kinds = [re.escape(k) for k in cuttable(pairs) if k]
+    short = "".join(
+        rf"[{inside}]*[{kind}]+(?=[{inside}{''.join(k for k in kinds if k != kind)}]|\Z)|" for kind in kinds
+    )
     if not joined:
-        return re.compile(rf"[{inside}]*[^{inside}]+|[{inside}]+")
+        return re.compile(rf"{short}[{inside}]*[^{inside}]+|[{inside}]+")
     # Last bytes of two-byte characters are 0x80 and their code point's low six bits;
     # characters of three and four bytes are all taken as joined.
     never = "".join(
@@ -63,7 +84,7 @@ def cut_pattern(vocabulary: list[str]) -> re.Pattern:
         + [chr(c) for c in range(0x80, 0x800) if 0x80 | (c & 0x3F) in joined]
         + ["\u0800-\U0010ffff"]
     )
-    return re.compile(rf"[{inside}]*(?:[^{inside}]+|(?<=[{never}])[{inside}]+)+|[{inside}]+")
+    return re.compile(rf"{short}[{inside}]*(?:[^{inside}]+|(?<=[{never}])[{inside}]+)+|[{inside}]+")
 
 
 class Encoder:
