@@ -1,9 +1,9 @@
 """Defective question-answer pairs and the kind of their defect.
 
 One pass over the answers, each kind by its own means: a suffix automaton of the prompt's
-words measures how much of an answer is copied; an automaton of phrases finds refusals;
-stacks of delimiters, known labels and sentence ends show what breaks off; votes of
-stopwords tell languages apart.
+words measures how much of an answer is copied; an automaton finds the parts of refusals,
+which must stand in one clause; stacks of delimiters, known labels and sentence ends show
+what breaks off; votes of stopwords and scripts tell languages apart.
 
 Cases: a null answer is ``empty``; with a null or blank question only the copy and the
 language cannot be judged. An unknown or null TaskType gets the rules for free text. Each
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -37,30 +38,35 @@ PLACEHOLDERS = {
     "sin respuesta", "no aplica", "placeholder", "answer here", "insert answer here",
 }
 
-# Phrases by which an answer declines, without accents and apostrophes.
+# What refuses by itself, without accents and apostrophes.
 REFUSALS = [
-    "unable to comply", "cannot comply", "cant comply", "not able to comply", "i wont", "i will not", "i cant help",
-    "i cannot help", "i can not help", "i cannot answer", "i cant answer", "i cannot assist", "i cant assist",
-    "i cannot provide", "i cant provide", "i cannot give", "i cant give", "i am not able to", "im not able to",
-    "i am unable to", "im unable to", "i do not give", "i dont give", "i do not provide", "i dont provide",
-    "not allow me to", "no answer can be given", "outside what i may do", "not be appropriate for me",
-    "i must decline", "i have to decline", "i decline", "i refuse", "i am not permitted", "im not permitted",
-    "i am not allowed", "im not allowed", "against my guidelines", "as an ai", "as a language model",
-    "im sorry but i", "i am sorry but i", "i cannot interpret", "i cant interpret", "i may not answer",
-    "i cannot fulfil", "i cant fulfil", "i cannot diagnose", "i cant diagnose", "beyond what i can do",
-    "je ne peux pas", "je ne suis pas en mesure", "je ne suis pas autorise", "il mest impossible", "je ne donne pas",
-    "je ne fournis pas", "en tant que modele", "en tant quia", "je regrette mais je", "je refuse", "je suis desole",
-    "je ne saurais", "je ne puis", "il ne mest pas possible", "mes consignes ne me permettent pas",
-    "kann ich nicht", "ich kann nicht", "ich kann diese", "ich kann keine", "kann ich leider nicht", "leider kann ich",
-    "kann ich keine", "ich bin nicht in der lage", "es ist mir nicht moglich", "ist mir nicht moglich", "als ki",
-    "als sprachmodell", "als modell", "gebe ich keine", "ich gebe keine", "tut mir leid", "darf ich nicht", "ich darf",
-    "erlauben mir nicht", "ich lehne ab", "muss ich ablehnen",
-    "no puedo", "lo siento", "no me es posible", "no estoy en condiciones", "no estoy autorizado", "como modelo", "como ia",
-    "no doy", "no ofrezco", "no debo", "no me permiten", "me es imposible", "no soy capaz", "me niego", "debo rechazar",
+    "unable to comply", "cannot comply", "cant comply", "not able to comply", "as an ai", "as a language model", "not allow me to", "does not allow me",
+    "no answer can be given", "no answer can be provided", "outside what i may do", "beyond what i can do", "not be appropriate for me", "against my guidelines",
+    "i must decline", "i have to decline", "i decline to", "i refuse to", "i am not permitted", "im not permitted", "i am not allowed", "im not allowed",
+    "je ne suis pas autorise", "il mest impossible", "il ne mest pas possible", "en tant que modele", "en tant quia", "en tant quassistant", "je refuse de", "je dois refuser", "ne me permettent pas",
+    "als ki", "als sprachmodell", "als modell", "erlauben mir nicht", "erlauben es mir nicht", "ich lehne ab", "muss ich ablehnen", "darf ich nicht", "ist mir nicht moglich",
+    "no me es posible", "me es imposible", "no estoy autorizado", "no me permiten", "como modelo", "como ia", "me niego a", "debo rechazar", "no debo",
+    "non mi e possibile", "non sono autorizzato", "come modello", "nao me e possivel", "nao estou autorizado", "como um modelo",
 ]
-#: Up to this length, in words, a declining phrase makes an answer a refusal; in a longer one
-#: every other sentence must also leave the question unanswered.
-REFUSAL_WORDS = 45
+# What declines together with an act of answering in the same clause.
+DECLINING = [
+    "i cannot", "i cant", "i can not", "i could not", "i wont", "i will not", "i may not", "i am unable to", "im unable to", "i am not able to", "im not able to",
+    "i do not", "i dont", "we cannot", "we cant", "we do not", "we are unable to", "we are not able to",
+    "je ne peux", "je ne puis", "je ne saurais", "je ne suis pas en mesure", "je ne", "nous ne pouvons", "nous ne",
+    "ich kann", "kann ich", "konnen wir", "wir konnen", "ich darf", "bin ich nicht", "ich bin nicht", "ich", "gebe ich",
+    "no puedo", "no podemos", "no estoy en condiciones", "no soy capaz", "no doy", "no ofrezco", "no emito", "no proporciono", "no interpreto", "non posso", "non sono in grado", "nao posso", "nao consigo",
+]
+# Acts of answering, by the beginning of their words.
+ACTS = (
+    "answer help assist provid giv interpret diagnos comply fulfil assess comment offer evaluat analy read discuss "
+    "repond aid fourni donn interpret diagnosti evalu analys comment "
+    "beantwort helf geb gib stell interpretier diagnos beurteil befund auswert bewert bereitstell abgeb "
+    "respond ayud proporcion dar doy ofrec emit interpret diagnostic evalu analiz coment "
+    "rispond aiut fornir dare ajud fornec"
+).split()
+#: After phrases that end with one of the first words, one of the second must follow.
+NEEDS_DENIAL = {"kann", "ich", "konnen", "wir", "darf", "ne", "peux", "pouvons", "saurais", "puis"}
+DENIALS = {"nicht", "kein", "keine", "keinen", "keinerlei", "pas", "aucun", "aucune"}
 # Words of sentences that explain a refusal, without accents.
 EXPLAINING = set(
     "sorry apologize apologies unfortunately professional physician doctor specialist radiologist clinician expert consult policy "
@@ -70,25 +76,39 @@ EXPLAINING = set(
     "lamentablemente medico especialista radiologo profesional consulte normas modelo ayuda".split()
 )
 
-# Words that occur in one of the languages only.
+# Function words of the languages, and the words for answer, probably and about.
 STOPWORDS = {
-    "en": "the of and is are was were with this that which what for from by at an be been has have not it its as or but "
-    "answer shows show most likely there their our your these those how many each every near between under over",
-    "fr": "le la les des du et est sont une dans avec sur pour par qui que quelle quel cette ce ces il elle ne pas au aux "
-    "nous vous réponse près sans ou plus mais été montre probablement semble vers environ selon lequel",
-    "de": "der die das und ist sind ein eine einer einem einen mit auf für von zu im am den dem des nicht wie welche welcher "
-    "welches diese dieser dieses bei nach aus als auch sich es antwort zeigt wir kein keine wird sowie gegenüber an da liegt ehesten vor bild wurde werden",
-    "es": "el los las del y es son una con por para que qué esta este estos cuál no se al en un como pero más hay "
-    "respuesta muestra parece hacia entre según junto nos probablemente aproximadamente su sus lo cuántas cuántos imagen hallazgos impresión ni",
+    "en": "probably approximately about answer a an the and or but nor if than then as at by for from in into of off on onto out over to under up with without about after again against between "
+    "before below both during through until while because so such only own same too very not no yes i me my we us our you your he him his she her it its they "
+    "them their this that these those which who whom whose what when where why how all any each few more most other some is am are was were be been being have "
+    "has had do does did will would shall should can could may might must there here",
+    "fr": "probablement environ réponse le la les l un une des du de d et ou mais ni car donc or si que qui quoi dont où à au aux en dans par pour sur sous sans avec chez vers entre contre "
+    "depuis pendant avant après selon je j tu il elle on nous vous ils elles me m te se s lui leur ce c cet cette ces mon ma mes ton sa son ses notre nos votre "
+    "vos ne n pas plus moins très aussi bien comme est sont était ont a avait être avoir fait peut y quel quelle quels quelles près plusieurs aucun aucune",
+    "de": "wahrscheinlich ungefähr antwort der die das den dem des ein eine einen einem einer eines und oder aber denn sondern wenn als wie ob dass weil da in im an am auf aus bei beim mit nach "
+    "seit von vom zu zum zur für durch gegen ohne um über unter vor hinter neben zwischen bis ich du er sie es wir ihr mich mir dich sich uns ihn ihm ihnen mein "
+    "sein seine ihre unser dieser diese dieses diesem diesen welcher welche welches was wer wo nicht kein keine keinen auch nur noch schon sehr so hier ist sind "
+    "war waren bin wird werden wurde wurden hat haben hatte kann können soll muss sowie",
+    "es": "probablemente aproximadamente respuesta el la los las un una unos unas lo y e o u pero sino ni si que quien cual cuál cuáles cuyo donde cuando como cómo qué a al ante bajo con contra de del "
+    "desde en entre hacia hasta para por según sin sobre tras yo tú él ella ello nosotros ellos ellas me te se nos le les su sus mi mis tu este esta esto estos "
+    "estas ese esa esos esas aquel no ni muy más menos también ya es son era fue está están ser estar hay ha han había puede pueden unos algún ningún cuántos cuántas pues",
+    "it": "probabilmente circa risposta il lo la i gli le un uno una e ed o ma né se che chi cui quale quali dove quando come perché a ad al allo alla ai agli alle da dal dallo dalla dai di d "
+    "del dello della dei degli delle in nel nello nella nei nelle con su sul sulla sui per tra fra io tu lui lei noi voi loro mi ti si ci vi ne questo questa "
+    "questi queste quello quella non più meno molto anche è sono era ha hanno essere avere può c l",
+    "pt": "provavelmente aproximadamente resposta o a os as um uma uns umas e ou mas nem se que quem qual quais cujo onde quando como ao à aos às de do da dos das em no na nos nas por pelo pela pelos "
+    "para com contra desde entre até sem sob sobre após eu tu ele ela nós vós eles elas me te lhe lhes seu sua seus suas meu minha este esta estes estas esse essa "
+    "isto isso aquele não mais menos muito também já é são era foi está estão ser estar há tem têm pode podem",
+    "nl": "waarschijnlijk ongeveer antwoord de het een en of maar want dat die dit deze wie wat waar wanneer hoe in op aan bij met van voor door over onder tussen naar uit om tot zonder tegen na "
+    "te ik jij hij zij ze we wij jullie mij hem haar ons hun zijn is was waren ben wordt worden werd heeft hebben had kan kunnen moet zal niet geen ook nog er "
+    "zich als dan",
 }
-SHARED = {"de": {"es", "an", "la", "des", "die", "as", "am", "den"}}
 
-# Words after which no answer ends.
+# Function words after which no answer ends.
 HANGING = set(
     "the a an of and or in on at to by with from for is are was were be about between near that which this than as into "
-    "over under its there comes amounts reads measuring covers der die das des dem den ein eine einer einem einen und oder "
-    "ist sind im in am an auf mit von zu bei für le la les de du des et ou un une est sont dans sur avec pour par au aux "
-    "el los las del y o es son en con por para una que se al".split()
+    "over under its there der die das des dem den ein eine einer einem einen und oder "
+    "ist sind im am auf mit von zu bei für le la les de du et ou un une est sont dans sur avec pour par au aux "
+    "el los las del y es son en con para que se al il lo gli di os um uma do da em com".split()
 )
 LEADS = {"question", "frage", "pregunta", "q", "prompt", "answer", "antwort", "réponse", "respuesta"}
 
@@ -97,6 +117,7 @@ END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 OPTION = re.compile(r"(?:(?<=^)|(?<=[\s,;:(]))\(?([A-Za-z])\s?[).:]\s+(?=\S)")
 REPLY_LETTER = re.compile(r"(?:->|=>|→|:|\n)\s*\(?([A-Z])\)?[.)]?\s*$")
 SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
+CLAUSE = re.compile(r"[.,;:!?…。！？\n]+")
 #: A letter that ends a sentence: the option it states.
 LETTER = re.compile(r"\b([A-Z])\)?[.!]?$")
 STATED = re.compile(r"(?:^|\b(?:is|est|ist|es|answer|réponse|antwort|respuesta)\s*:?\s*)\(?([A-Z])\)?\s*[.:)]\s*(.*)$", re.S)
@@ -112,6 +133,15 @@ def _bare(text: str) -> str:
     return " ".join(WORD.findall("".join(c for c in text if not unicodedata.combining(c))))
 
 
+def _script(sequence: list[str]) -> str | None:
+    """The script that most letters are of, by the first word of their names."""
+    text = "".join(sequence)
+    if text.isascii():
+        return "LATIN" if any(c.isalpha() for c in text) else None
+    counts = Counter(unicodedata.name(c, "?").split()[0] for c in text if c.isalpha())
+    return counts.most_common(1)[0][0] if counts else None
+
+
 class SuffixAutomaton:
     """All runs of words of a prompt, in linear size."""
 
@@ -173,25 +203,47 @@ class DefectFinder:
         self.labels = {" ".join(words(t)) for t in terms} - {""}
         self.prefixes = {" ".join(words(t))[:k] for t in terms for k in range(1, len(" ".join(words(t))))}
         self.refusals = ahocorasick.Automaton()
+        for phrase in DECLINING:
+            self.refusals.add_word(f" {phrase} ", False)
         for phrase in REFUSALS:
-            self.refusals.add_word(f" {phrase} ", phrase)
+            self.refusals.add_word(f" {phrase} ", True)
         self.refusals.make_automaton()
-        self.stop: dict[str, list[str]] = {}
+        stop: dict[str, set[str]] = {}
         for language, listed in STOPWORDS.items():
             for word in listed.split():
-                if word not in SHARED.get(language, ()):
-                    self.stop.setdefault(word, []).append(language)
+                if len(word) > 1:  # single letters may name options
+                    stop.setdefault(word, set()).add(language)
+        self.stop = {word: frozenset(languages) for word, languages in stop.items()}
 
-    def language(self, sequence: list[str], least: int = 2) -> str | None:
-        """The language with most stopwords, if it has enough and a clear lead."""
-        votes: dict[str, float] = {}
-        for word in sequence:
-            for language in self.stop.get(word, ()):
-                votes[language] = votes.get(language, 0) + 1 / len(self.stop[word])
-        ranked = sorted(votes.items(), key=lambda v: -v[1])
-        if not ranked or ranked[0][1] < least or (len(ranked) > 1 and ranked[0][1] < 1.5 * ranked[1][1]):
-            return None
-        return ranked[0][0]
+    def votes(self, sequence: list[str]) -> Counter:
+        """How many stopwords belong to each set of languages."""
+        return Counter(filter(None, map(self.stop.get, sequence)))
+
+    @staticmethod
+    def _lead(votes: Counter, one: str, other: str) -> bool:
+        """Whether a text is rather in one language than in the other, by their own words: two
+        and half as many again, or a single one where three more fit and none is the other's."""
+        mine = sum(n for languages, n in votes.items() if one in languages and other not in languages)
+        theirs = sum(n for languages, n in votes.items() if other in languages and one not in languages)
+        both = sum(n for languages, n in votes.items() if one in languages and other in languages)
+        return mine >= max(2, 1.5 * theirs) or (mine == 1 and not theirs and both >= 3)
+
+    def other_language(self, asked: list[str], said: list[str]) -> bool:
+        """Whether an answer has another script than the question, or is rather in a language
+        that the question can't be in than in any that it can."""
+        script, other = _script(asked), _script(said)
+        if script and other and script != other:
+            return True
+        replied = self.votes(said)
+        if not replied:
+            return False
+        votes = self.votes(asked)
+        total = {language: sum(n for languages, n in votes.items() if language in languages) for language in STOPWORDS}
+        most = max(total, key=total.get)
+        if total[most] < 2:
+            return False
+        possible = {language for language in STOPWORDS if not self._lead(votes, most, language)}
+        return any(all(self._lead(replied, language, p) for p in possible) for language in STOPWORDS if language not in possible)
 
     @staticmethod
     def options(question: str) -> dict[str, str]:
@@ -219,7 +271,7 @@ class DefectFinder:
             return None
         if text in PLACEHOLDERS and text not in self.labels:
             return "empty"
-        if self._refuses(answer) and (len(said) <= REFUSAL_WORDS or not self._answers(task, answer, options)):
+        if self._refuses(answer) and not self._answers(task, answer, options):
             return "refusal"
         stated = STATED.search(answer.strip()) if options else None
         if stated and stated[1] in options and " ".join(words(stated[2])) in ("", options[stated[1]]):
@@ -229,15 +281,22 @@ class DefectFinder:
         if not replied and self._copied(question, said):
             return "copied_question"
         listed = "multi label" in task and all(" ".join(words(p)) in self.labels for p in re.split(r";\s+", answer))
-        if not listed and (not replied or len(said) > 6):
-            spoken = self.language(said)
-            if spoken and (asked := self.language(words(question))) and asked != spoken:
-                return "other_language"
+        if not listed and self.other_language(words(question), said):
+            return "other_language"
         return None if replied else self._broken(task, answer, said, options, stated)
 
     def _refuses(self, answer: str) -> bool:
-        bare = f" {_bare(answer)} "
-        return next(self.refusals.iter(bare), None) is not None
+        """Whether a clause refuses by itself, or declines an act of answering."""
+        for clause in CLAUSE.split(answer):
+            bare = f" {_bare(clause)} "
+            for last, alone in self.refusals.iter(bare):
+                if alone:
+                    return True
+                tail = bare[last:].split()
+                denied = bare[: last + 1].rsplit(None, 1)[-1] not in NEEDS_DENIAL or DENIALS & set(tail)
+                if denied and any(word.startswith(act) for word in tail for act in ACTS):
+                    return True
+        return False
 
     def _answers(self, task: str, answer: str, options: dict[str, str]) -> bool:
         """Whether a sentence besides those that decline answers: it holds what the task asks
@@ -263,6 +322,9 @@ class DefectFinder:
         asked = words(question)
         if len(asked) < 2 or len(said) < 2:
             return False
+        known = LEADS.union(asked)
+        if any(w not in known for w in said):  # such a word is covered by no run
+            return False
         least = min(COPIED_RUN, len(asked))
         marks = SuffixAutomaton(asked).covered(said, least)
         n = sum(marks)
