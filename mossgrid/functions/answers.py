@@ -26,6 +26,7 @@ STATED_COUNT = [
     r"approximately\s*(\d+)",
     r"estimated?\s*(\d+)",
 ]
+# Patterns of bare counts, of boxes and of numbers.
 BARE_COUNT = r"(?i)(?<!step\s)(?<!\d\.\s)(?<!procedure\s)(\d+)(?!\.\s)"
 BOX = r"\[?\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*\]?"
 SINGLE_BOX = r"\[\s*\[\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*\]\s*\]"
@@ -70,52 +71,47 @@ def labels(text: Column) -> Column:
     return F.when(inside != "", listed).when(F.size(bare) > 0, bare).otherwise(F.array(strip(text)))
 
 
-def _is_object(text: Column) -> Column:
-    return (
-        text.startswith("{")
-        & text.endswith("}")
-        & F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
-    )
+def _fields(text: Column) -> Column:
+    """Entries of a JSON object, null for any other text. Of a key that is repeated the last
+    value counts, at the place of the first."""
+    whole = F.when(text.startswith("{") & text.endswith("}"), text)
+    entries = F.map_entries(F.from_json(whole, "map<string,string>", {"allowSingleQuotes": "false"}))
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    last = F.transform(names, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1))
+    return F.when(F.size(names) < F.size(entries), last).otherwise(entries)
 
 
-def _whole(box: Column) -> Column:
-    return F.transform(box, lambda x: x.cast("bigint"))
+def _whole(boxes: Column) -> Column:
+    """Boxes in whole numbers; a box with a number that is none of 64 bits is left out."""
+    cut = F.transform(boxes, lambda box: F.transform(box, lambda x: x.try_cast("bigint")))
+    return F.filter(cut, lambda box: ~F.exists(box, lambda x: x.isNull()))
 
 
 def instances(text: Column) -> Column:
     """Instance detection: a JSON object of box lists by name; anything else is empty."""
-    fields = F.map_entries(F.from_json(F.when(_is_object(text), text), "map<string,string>"))
-
     def boxes(value: Column) -> Column:
         several = F.from_json(value, "array<array<double>>")
         flat = F.from_json(value, "array<double>")
         fits = (F.size(several) > 0) & (F.size(F.get(several, F.lit(0))) == 4)
-        return F.when(fits, F.transform(several, _whole)).when(F.size(flat) == 4, F.array(_whole(flat)))
+        return F.when(fits, _whole(several)).when(F.size(flat) == 4, _whole(F.array(flat)))
 
-    kept = F.filter(F.transform(fields, lambda e: F.struct(e["key"], boxes(e["value"]))), lambda e: e["col2"].isNotNull())
+    kept = F.filter(F.transform(_fields(text), lambda e: F.struct(e["key"], boxes(e["value"]))), lambda e: e["col2"].isNotNull())
     return F.coalesce(F.map_from_entries(kept), F.create_map().cast(INSTANCES))
 
 
 def boxes(text: Column) -> Column:
     """Detection: boxes of a JSON object, else doubly bracketed single boxes, else any four
     whole numbers between commas."""
-    fields = F.map_values(F.from_json(text, "map<string,string>"))
-    of_object = F.flatten(
-        F.transform(
-            fields,
-            lambda v: F.transform(
-                F.filter(F.coalesce(F.from_json(v, "array<array<double>>"), F.array().cast("array<array<double>>")), lambda b: F.size(b) == 4),
-                _whole,
-            ),
-        )
-    )
+    none = F.array().cast("array<array<double>>")
+    four = lambda v: F.filter(F.coalesce(F.from_json(v, "array<array<double>>"), none), lambda b: F.size(b) == 4)
+    of_object = F.flatten(F.transform(_fields(text), lambda e: _whole(four(e["value"]))))
 
     def found(pattern: str) -> Column:
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         return F.transform(hits, lambda h: F.transform(F.regexp_extract_all(h, F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("bigint")))
 
     single = found(SINGLE_BOX)
-    return F.when(_is_object(text), of_object).when(F.size(single) > 0, single).otherwise(found(BOX))
+    return F.when(of_object.isNotNull(), of_object).when(F.size(single) > 0, single).otherwise(found(BOX))
 
 
 def _most(text: Column, pattern: str) -> Column:

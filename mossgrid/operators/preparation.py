@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mossgrid.functions.fields import file_name, image_paths
+from mossgrid.plans.runtime import write_text, written
 from mossgrid.sources import question_files as Q
 
 #: Issues that a report shows.
@@ -74,15 +74,16 @@ def dataset_info(prepared: DataFrame) -> DataFrame:
 
 
 def prepare(
-    spark: SparkSession, base: str, out: str, *, max_samples: int | None = None, datasets: list[str] | None = None
+    spark: SparkSession, base: str, out: str, *, max_samples: int | None = None, datasets: list[str] | None = None, decode: bool = False
 ) -> DataFrame:
     """Reads all question files under ``base``, writes ``out/{train,validation,test}`` and
     ``dataset_info.json``, and returns the samples per dataset and split.
 
     Evaluation splits take a fifth of ``max_samples``; a fifth of less than one is no limit.
-    No training sample at all is an error.
+    Images are valid by their first bytes, or by decoding them as a whole. No training sample
+    at all is an error.
     """
-    files = Q.listing(spark, base).cache()
+    files = Q.listing(spark, base)
     known = Q.registry(spark, datasets)
     # At most one file for each known dataset and split.
     placed = Q.placed_files(files).join(F.broadcast(known), ["dataset", "category"])
@@ -94,15 +95,12 @@ def prepare(
     group = ["dataset", "split"]
     train = sampled(questions.where("split = 'train'"), max_samples, group, key, "pos")
     rest = sampled(questions.where("split <> 'train'"), max_samples // 5 if max_samples else None, group, key, "pos")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    good = content.where(F.col("path").rlike(Q.IMAGE_ENDINGS)).select(
-        F.regexp_replace("path", "^[a-z]+:/*(?=/)", "").alias("image"), Q.valid_image(F.col("content")).alias("ok")
-    )
+    good = Q.checked_images(spark, base, decode=decode).where("ok").withColumnRenamed("path", "image")
     part = lambda i: F.element_at(F.split("image", "/"), i)
-    images = good.where("ok").select(
+    images = good.select(
         "image", part(-4).alias("category"), part(-3).alias("dataset"), part(-5).alias("split_dir"), file_name(F.col("image")).alias("file")
     )
-    prepared = samples(train.unionByName(rest), images, ["split_dir", "category", "dataset"], ["path", "pos", "split"]).cache()
+    prepared = written(samples(train.unionByName(rest), images, ["split_dir", "category", "dataset"], ["path", "pos", "split"]))
     info = dataset_info(prepared).first()
     if not info["train_samples"]:
         raise ValueError("no training samples")
@@ -116,22 +114,22 @@ def prepare(
     }
     stats = split_sizes(prepared)
     table = {r["dataset"]: {s: r[s] for s in ("train", "val", "test")} for r in stats.collect()}
-    Path(out).mkdir(parents=True, exist_ok=True)
-    Path(out, "dataset_info.json").write_text(json.dumps(info.asDict() | {"dataset_stats": table} | shares, indent=2))
+    write_text(spark, f"{out}/dataset_info.json", json.dumps(info.asDict() | {"dataset_stats": table} | shares, indent=2))
     return stats
 
 
-def validate(spark: SparkSession, base: str, *, check_images: bool = False, n: int = 100) -> tuple[bool, DataFrame]:
+def validate(spark: SparkSession, base: str, *, check_images: bool = False, n: int = 100, decode: bool = False) -> tuple[bool, DataFrame]:
     """(ok, issues): missing image folders and question files, unreadable files, fields
-    missing in a file's first record, and, if asked, images that don't begin as such among
-    the first n by path of each folder. No known split folder at all fails."""
-    files = Q.listing(spark, base).cache()
+    missing in a file's first record, and, if asked, images that don't begin as such, or
+    can't be decoded, among the first n by path of each folder. No known split folder at all
+    fails."""
+    files = Q.listing(spark, base)
     part = lambda i: F.get(F.split("rel", "/"), F.lit(i))
     folders = [f for _, f, *_ in Q.PLACES]
     tree = files.withColumns({"split_dir": part(0), "category": part(1), "dataset": part(2), "sub": part(3)}).where(
         F.col("split_dir").isin(folders) & F.col("sub").isNotNull()
     )
-    present = tree.groupBy("split_dir", "category", "dataset").agg(F.collect_set("sub").alias("subs"))
+    present = written(tree.groupBy("split_dir", "category", "dataset").agg(F.collect_set("sub").alias("subs")))
     if present.isEmpty():
         return False, spark.createDataFrame([("no known split folder",)], "issue string")
     where = F.concat_ws("/", "split_dir", "category", "dataset")
@@ -150,7 +148,7 @@ def validate(spark: SparkSession, base: str, *, check_images: bool = False, n: i
         F.concat(F.lit("Missing question file: "), where, F.lit("/"), "file").alias("issue")
     )
     there = expected.where(F.array_contains("subs", F.col("file"))).select(F.concat(F.lit(base.rstrip("/") + "/"), where, F.lit("/"), "file").alias("path"))
-    first = Q.read_questions(spark, [r["path"] for r in there.collect()]).where("pos = 1").cache()  # a file for each dataset and split
+    first = written(Q.read_questions(spark, [r["path"] for r in there.collect()]).where("pos = 1"))  # a file for each dataset and split
     lacking = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in Q.FIELDS]))
     unreadable = first.where("_corrupt_record IS NOT NULL").select(F.concat(F.lit("Error reading "), "path").alias("issue"))
     fields = first.where("_corrupt_record IS NULL").withColumn("lack", lacking).where(F.size("lack") > 0).select(
@@ -158,14 +156,20 @@ def validate(spark: SparkSession, base: str, *, check_images: bool = False, n: i
     )
     issues = no_folder.unionByName(no_file).unionByName(unreadable).unionByName(fields)
     if check_images:
-        content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-        held = content.where(F.col("path").rlike(Q.IMAGE_ENDINGS)).withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
+        held = Q.checked_images(spark, base, decode=decode).withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
         rank = F.row_number().over(Window.partitionBy("dir").orderBy("path"))
-        bad = held.select("path", "dir", Q.valid_image(F.col("content")).alias("ok")).withColumn("r", rank).where(F.col("r") <= n).where("NOT ok")
+        bad = held.withColumn("r", rank).where(F.col("r") <= n).where("NOT ok")
         issues = issues.unionByName(bad.select(F.concat(F.lit("Corrupted image: "), "path").alias("issue")))
+    issues = written(issues)  # a few rows; finding them again would read all files again
     return issues.isEmpty(), issues
 
 
+def shown_issues(issues: DataFrame) -> list[str]:
+    """Lines of a report: how many issues there are, and the first of them."""
+    rows = issues.orderBy("issue").limit(SHOWN_ISSUES).collect()
+    return [f"{issues.count()} issues", *[f"  - {r['issue']}" for r in rows]]
+
+
 def validation_report(spark: SparkSession, base: str) -> str:
     """Text: per split the number of datasets and their sorted names."""
     files = Q.listing(spark, base)
@@ -198,3 +202,10 @@ def missing_images(prepared: DataFrame, files: DataFrame, n: int = 3) -> DataFra
     """Image paths of the first n samples that no longer exist; a check after saving."""
     first = prepared.limit(n).select(F.explode("images").alias("path"))
     return first.join(files.select("path"), "path", "left_anti")
+
+
+def saved_counts(spark: SparkSession, out: str) -> dict[str, int]:
+    """Rows of each split that was written under ``out``; zero for one that wasn't."""
+    system = spark._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = lambda name: system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}"))
+    return {n: spark.read.parquet(f"{out}/{n}").count() if there(n) else 0 for n in ("train", "validation", "test")}

@@ -51,19 +51,63 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This session's own folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def delete_at_end(spark: SparkSession, folder: str) -> None:
+    """Has a folder deleted when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Like :func:`cut_lineage`, as a compressed columnar table: several times smaller, and
     columns that aren't needed aren't read again. Its partitions aren't those of ``df``. The
     table is deleted when the driver ends."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    delete_at_end(spark, folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def write_text(spark: SparkSession, path: str, *parts: str) -> None:
+    """A small text file, on whatever file system the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for part in parts:
+            out.write(part.encode())
+    finally:
+        out.close()
+
+
+def join_parts(spark: SparkSession, folder: str, path: str, before: str, after: str, drop: int) -> None:
+    """One file of the part files of a folder in their order, as a stream from file to file.
+    The last ``drop`` bytes, a separator after the last record, are left out."""
+    hadoop = spark._jvm.org.apache.hadoop
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = hadoop.fs.Path(path)
+    system = target.getFileSystem(conf)
+    found = system.listStatus(hadoop.fs.Path(folder))
+    parts = sorted((str(s.getPath()), s.getLen()) for s in found if s.getPath().getName().startswith("part-") and s.getLen())
+    out = system.create(target, True)
+    try:
+        out.write(before.encode())
+        for i, (part, size) in enumerate(parts, 1):
+            source = system.open(hadoop.fs.Path(part))
+            try:
+                spark._jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, size - drop * (i == len(parts)))
+            finally:
+                source.close()
+        out.write(after.encode())
+    finally:
+        out.close()
+
+
 def spread(df: DataFrame, *cols: str | Column) -> DataFrame:
     """Hash-partitioned by the columns into as many parts as the session shuffles, at least
     two for each core. For stages that are heavier than their bytes, Python ones above all:

@@ -6,9 +6,14 @@ Layout: ``base/{split_dir}/{category}/{dataset}/{imagesTr|imagesVal|imagesTs}/*`
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mossgrid.plans.runtime import spread
+
 # Split, its folder, image folder, question file ending, priority.
 PLACES = [
     ("train", "training", "imagesTr", "train", 0),
@@ -28,13 +33,16 @@ REGISTRY = {
     "Dermatology": ["bcn20000"],
     "Mammography": ["CMMD"],
 }
+TRIAL = ["retino", "BUSI-det", "boneresorption"]
 FIELDS = ["Question", "Answer", "TaskType", "Modality", "ImageName"]
 SCHEMA = ", ".join(f"{f} string" for f in [*FIELDS, "Split", "_corrupt_record"])
 # Where a submission looks for question files and images, in order.
 SEARCH = ["_questions_val\\.json$", "_questions\\.json$", "questions[^/]*\\.json$", "/questions[^/]*\\.json$"]
 IMAGE_DIRS = ["imagesVal", "imagesTs", "images", "Images", "img", ""]
 IMAGE_PREFIXES = ["imagesVal/", "imagesTs/", "images/", "Images/", "img/"]
+SEARCH_NAMES = "*questions*.json"
 IMAGE_ENDINGS = r"(?i)\.(jpg|jpeg|png|bmp|tiff|tif)$"
+IMAGE_NAMES = "*.{jpg,jpeg,png,bmp,tiff,tif,JPG,JPEG,PNG,BMP,TIFF,TIF}"
 
 
 def registry(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
@@ -46,20 +54,52 @@ def registry(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
 def listing(spark: SparkSession, base: str) -> DataFrame:
     """All files under a folder: path, rel (below it), n_bytes. Contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    plain = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
-    return files.select(plain.alias("path"), F.col("length").alias("n_bytes")).withColumn(
+    return files.select(_plain(F.col("path")).alias("path"), F.col("length").alias("n_bytes")).withColumn(
         "rel", F.regexp_replace("path", "^.*?" + _literal(base.rstrip("/")) + "/", "")
     )
 
 
+def _plain(path: Column) -> Column:
+    """A local path without its scheme; others keep theirs."""
+    return F.regexp_replace(path, "^file:/*(?=/)", "")
+
+
 def _literal(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def valid_image(content: Column) -> Column:
+def valid_image(head: Column) -> Column:
     """Whether bytes begin as an image file does (JPEG, PNG, BMP, GIF, TIFF)."""
-    head = F.hex(F.substring(content, 1, 8))
-    return F.coalesce(head.rlike("^(FFD8FF|89504E470D0A1A0A|424D|47494638|49492A00|4D4D002A)"), F.lit(False))
+    return F.coalesce(F.hex(head).rlike("^(FFD8FF|89504E470D0A1A0A|424D|47494638|49492A00|4D4D002A)"), F.lit(False))
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        heads = []
+        for path in batch.column("path").to_pylist():
+            try:
+                system, place = fs.FileSystem.from_uri(path)
+                with system.open_input_file(place) as file:
+                    heads.append(file.read(8))
+            except OSError:
+                heads.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(heads, pa.binary())], ["path", "head"])
+
+
+def checked_images(spark: SparkSession, base: str, *, decode: bool = False) -> DataFrame:
+    """(path, ok) of all image files under a folder.
+
+    By default the first bytes decide, which are all that is read of a file. With ``decode``
+    every image is decoded as a whole, so that cut-off and damaged ones fail.
+    """
+    if decode:
+        read = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_NAMES).load(base)
+        return read.select(_plain(F.col("image.origin")).alias("path"), (F.col("image.nChannels") > 0).alias("ok"))
+    files = listing(spark, base).where(F.col("path").rlike(IMAGE_ENDINGS))
+    heads = spread(files.select("path"), "path").mapInArrow(_heads, "path string, head binary")
+    return heads.select("path", valid_image(F.col("head")).alias("ok"))
 
 
 def placed_files(files: DataFrame) -> DataFrame:
@@ -92,9 +132,20 @@ def read_questions(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     if not paths:
         return spark.createDataFrame([], f"{SCHEMA}, path string, pos int")
-    raw = spark.read.schema(SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
-    plain = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/*(?=/)", "")
-    placed = raw.withColumn("path", plain).withColumn("__at", F.monotonically_increasing_id())
+    return _placed(_reader(spark).json(paths))
+
+
+def read_found_questions(spark: SparkSession, base: str) -> DataFrame:
+    """Records of all question files under a folder, found by their names while reading."""
+    return _placed(_reader(spark).option("recursiveFileLookup", True).option("pathGlobFilter", SEARCH_NAMES).json(base))
+
+
+def _reader(spark: SparkSession):
+    return spark.read.schema(SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record")
+
+
+def _placed(raw: DataFrame) -> DataFrame:
+    placed = raw.withColumn("path", _plain(F.col("_metadata.file_path"))).withColumn("__at", F.monotonically_increasing_id())
     order = Window.partitionBy("path").orderBy("__at")  # one file: one array, read by one task
     return placed.withColumn("pos", F.row_number().over(order)).drop("__at")
 

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import json
 import math
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 
 from mossgrid.operators.evaluation import comparison_lines
+from mossgrid.plans.runtime import write_text
 
 
 def encodable(value):
@@ -25,9 +25,8 @@ def encodable(value):
     return value
 
 
-def _write(path: str, value) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(encodable(value), indent=2, ensure_ascii=False), encoding="utf-8")
+def _write(df: DataFrame, path: str, value) -> None:
+    write_text(df.sparkSession, path, json.dumps(encodable(value), indent=2, ensure_ascii=False))
 
 
 def write_results(metrics: DataFrame, counts: DataFrame, model: str, path: str) -> None:
@@ -37,7 +36,7 @@ def write_results(metrics: DataFrame, counts: DataFrame, model: str, path: str)
         tasks[r["task"]] = {k: r[k] for k in ("num_examples", "valid_examples", "skipped_examples")}
     for r in metrics.where(metrics["model"] == model).orderBy("task", "metric").collect():
         tasks.setdefault(r["task"], {}).setdefault("metrics", {})[r["metric"]] = r["value"]
-    _write(path, tasks)
+    _write(metrics, path, tasks)
 
 
 def write_comparison(compared: DataFrame, rollup: DataFrame, path: str) -> None:
@@ -46,7 +45,7 @@ def write_comparison(compared: DataFrame, rollup: DataFrame, path: str) -> None:
     for r in compared.orderBy("task", "metric").collect():
         row = r.asDict()
         tasks.setdefault(row.pop("task"), {})[row.pop("metric")] = row
-    _write(path, {"tasks": tasks, "overall": rollup.first().asDict()})
+    _write(compared, path, {"tasks": tasks, "overall": rollup.first().asDict()})
 
 
 def summary_text(metrics: DataFrame, counts: DataFrame) -> str:
