@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from mossgrid.functions import answers, geometry, lexicon, reports
 from mossgrid.functions.fields import strip
 from mossgrid.functions.tasks import parser_kind, primary_metric, route, task_name
+from mossgrid.plans.runtime import written
 
 THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7]
 COMPONENTS = [*lexicon.WEIGHTS, "overall", "severity_correlation"]
@@ -303,44 +304,49 @@ def number_errors(df: DataFrame, keys: list[str]) -> DataFrame:
 def bleu(df: DataFrame, keys: list[str], id_col: str, generated: str, reference: str, n_gram: int = 4) -> DataFrame:
     """(keys, bleu_score): mean clipped precision of each order, geometric mean, brevity.
 
-    N-grams are counted by exploding and grouping, so the cost is linear in the text. A text
-    shorter than n words has precision zero; an order without any match makes the score zero.
+    N-grams are counted by exploding and grouping, so the cost is linear in the text. The texts
+    are partitioned by row before, so the n-grams themselves aren't shuffled. A text shorter
+    than n words has precision zero; an order without any match makes the score zero.
     """
     tokens = lambda c: F.array_remove(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"(?U)\s+"), "")
-    base = df.select(*keys, id_col, tokens(generated).alias("p"), tokens(reference).alias("r"))
+    placed = df.select(*keys, id_col, generated, reference).repartition(id_col)
+    base = placed.select(*keys, id_col, tokens(generated).alias("p"), tokens(reference).alias("r"))
     orders = list(range(1, min(n_gram, 4) + 1))
 
+    def item(n: Column, gram: Column, in_p: Column, in_r: Column) -> Column:
+        return F.struct(n.alias("n"), gram.alias("gram"), in_p.alias("p"), in_r.alias("r"))
+
     def grams(side: str) -> Column:
+        ones = (F.lit(int(side == "p")), F.lit(int(side == "r")))
+
         def of(n: int) -> Column:
             places = F.when(F.size(side) >= n, F.sequence(F.lit(1), F.size(side) - n + 1))
             return F.transform(
-                F.coalesce(places, F.array().cast("array<int>")),
-                lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(side, i, n), " ").alias("gram")),
+                F.coalesce(places, F.array().cast("array<int>")), lambda i: item(F.lit(n), F.array_join(F.slice(side, i, n), " "), *ones)
             )
 
         return F.concat(*[of(n) for n in orders])
 
-    rows = reduce(
-        DataFrame.unionByName,
-        [
-            base.select(*keys, id_col, F.explode(grams(side)).alias("x")).select(
-                *keys, id_col, "x.n", "x.gram", F.lit(int(side == "p")).alias("is_p")
-            )
-            for side in ("p", "r")
-        ],
-    )
-    clipped = (
-        rows.groupBy(*keys, id_col, "n", "gram")
-        .agg(F.sum("is_p").alias("cp"), F.sum(1 - F.col("is_p")).alias("cr"))
+    # Order zero holds the lengths of the texts.
+    items = F.concat(grams("p"), grams("r"), F.array(item(F.lit(0), F.lit(""), F.size("p"), F.size("r"))))
+    counted = (
+        base.select(*keys, id_col, F.explode(items).alias("x"))
+        .groupBy(*keys, id_col, "x.n", "x.gram")
+        .agg(F.sum("x.p").alias("p"), F.sum("x.r").alias("r"), F.count(F.when(F.col("x.n") == 0, 1)).alias("rows"))
         .groupBy(*keys, id_col, "n")
-        .agg(ratio(F.sum(F.least("cp", "cr")), F.sum("cp")).alias("precision"))
+        .agg(F.sum(F.least("p", "r")).alias("hits"), F.sum("p").alias("p"), F.sum("r").alias("r"), F.sum("rows").alias("rows"))
     )
-    per_order = clipped.groupBy(*keys).pivot("n", orders).agg(F.sum("precision"))
-    sizes = base.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(F.size("p")).alias("lp"), F.sum(F.size("r")).alias("lr"))
-    means = [F.coalesce(F.col(str(n)), F.lit(0.0)) / F.col("rows") for n in orders]
+    at = lambda n, value: F.sum(F.when(F.col("n") == n, value))
+    sums = counted.groupBy(*keys).agg(
+        at(0, F.col("rows")).alias("rows"),
+        at(0, F.col("p")).alias("lp"),
+        at(0, F.col("r")).alias("lr"),
+        *[at(n, ratio(F.col("hits"), F.col("p"))).alias(f"m{n}") for n in orders],
+    )
+    means = [F.coalesce(F.col(f"m{n}"), F.lit(0.0)) / F.col("rows") for n in orders]
     logs = sum((F.when(m > 0, F.log(m)) for m in means), F.lit(0.0)) / len(orders)
     brevity = F.when(F.col("lp") > F.col("lr"), 1.0).when(F.col("lp") == 0, 0.0).otherwise(F.exp(1 - F.try_divide(F.col("lr"), F.col("lp"))))
-    return sizes.join(per_order, keys, "left").select(*keys, F.coalesce(brevity * F.exp(logs), F.lit(0.0)).alias("bleu_score"))
+    return sums.select(*keys, F.coalesce(brevity * F.exp(logs), F.lit(0.0)).alias("bleu_score"))
 
 
 def report_scores(df: DataFrame) -> DataFrame:
@@ -384,10 +390,36 @@ def report_generation(df: DataFrame, keys: list[str]) -> DataFrame:
     return _long(out, keys, ["green_score", "bleu_score", "clinical_efficacy", "valid_samples"])
 
 
+# Metrics of a task without pairs.
+NO_PAIRS = {
+    "classification": {"balanced_accuracy": 0.0, "accuracy": 0.0, "f1_score": 0.0, "valid_samples": 0.0},
+    "multi-label": {"f1_score": 0.0, "precision": 0.0, "recall": 0.0, "valid_samples": 0.0},
+    "detection": {"f1_score": 0.0, "precision": 0.0, "recall": 0.0, "valid_samples": 0.0},
+    "instance_detection": {"f1_score": 0.0, "precision": 0.0, "recall": 0.0, "valid_samples": 0.0},
+    "counting": {"mean_absolute_error": float("inf"), "valid_samples": 0.0},
+    "regression": {"mean_absolute_error": float("inf"), "valid_samples": 0.0},
+    "report_generation": {"green_score": 0.0, "bleu_score": 0.0, "valid_samples": 0.0},
+}
+
+
+def with_no_pairs(long: DataFrame) -> DataFrame:
+    """Adds the metrics of the tasks of which a model has no pairs."""
+    spark = long.sparkSession
+    rows = [(task, metric, value) for task, listed in NO_PAIRS.items() for metric, value in listed.items()]
+    spine = long.select("model").distinct().crossJoin(F.broadcast(spark.createDataFrame(rows, "task string, metric string, value double")))
+    return long.unionByName(spine.join(long.select("model", "task").distinct(), ["model", "task"], "left_anti"))
+
+
 def metrics(values: DataFrame) -> DataFrame:
-    """(model, task, metric, value) of all tasks from parsed pairs."""
+    """(model, task, metric, value) of all tasks from parsed pairs.
+
+    The pairs are written once, so that they are joined and parsed once; each task then reads
+    its own columns and rows.
+    """
     keys = ["model", "task"]
-    of = lambda *tasks: values.where(F.col("task").isin(*tasks))
+    kinds = [c for c in values.columns if c.startswith(("p_", "r_"))]
+    held = written(values.select(*keys, "pred_id", "valid", *kinds).sortWithinPartitions("task"))
+    of = lambda *tasks: held.where(F.col("task").isin(*tasks))
     parts = [
         classification(of("classification"), keys),
         multi_label(of("multi-label"), keys),
@@ -411,6 +443,8 @@ def task_counts(values: DataFrame) -> DataFrame:
     return both.withColumn("skipped_examples", F.col("num_examples") - F.col("valid_examples"))
 
 
+# Metrics that a comparison shows beside the primary ones.
+HIGHER_IS_BETTER = ["accuracy", "f1_score", "balanced_accuracy", "precision", "recall", "green_score"]
 LOWER_IS_BETTER = ["mean_absolute_error", "root_mean_squared_error"]
 
 
@@ -452,6 +486,12 @@ def comparison_rollup(compared: DataFrame) -> DataFrame:
     ).withColumn("improvement_rate", ratio(F.col("improved_tasks") * 100, F.col("total_tasks")))
 
 
+def comparison_details(compared: DataFrame) -> DataFrame:
+    """Each task whose primary metric both models have: metric, whether and how much it improved."""
+    primary = compared.where("is_primary_metric")
+    return primary.select("task", F.col("metric").alias("primary_metric"), F.col("improvement").alias("improved"), "improvement_magnitude_percent")
+
+
 def shown(value: Column, pattern: str = "%.4f") -> Column:
     """A value as text; what isn't finite by name."""
     return (
@@ -463,7 +503,8 @@ def shown(value: Column, pattern: str = "%.4f") -> Column:
 
 
 def comparison_lines(compared: DataFrame) -> DataFrame:
-    """Report lines in order: per task the primary metric first, then the others by name."""
+    """Report lines in order: per task the primary metric first, then the known ones by name."""
+    compared = compared.where(F.col("is_primary_metric") | F.col("metric").isin(HIGHER_IS_BETTER + LOWER_IS_BETTER))
     size = F.col("improvement_magnitude_percent")
     line = F.concat(
         F.when(F.col("is_primary_metric"), "* ").otherwise("  "),

@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import DataFrame
 
-from mossgrid.operators.evaluation import comparison_lines
+from mossgrid.operators.evaluation import comparison_details, comparison_lines
 from mossgrid.plans.runtime import write_text
 
 
@@ -45,7 +45,8 @@ def write_comparison(compared: DataFrame, rollup: DataFrame, path: str) -> None:
     for r in compared.orderBy("task", "metric").collect():
         row = r.asDict()
         tasks.setdefault(row.pop("task"), {})[row.pop("metric")] = row
-    _write(compared, path, {"tasks": tasks, "overall": rollup.first().asDict()})
+    details = {r["task"]: {k: r[k] for k in r.asDict() if k != "task"} for r in comparison_details(compared).collect()}
+    _write(compared, path, {"tasks": tasks, "overall": rollup.first().asDict() | {"details": details}})
 
 
 def summary_text(metrics: DataFrame, counts: DataFrame) -> str:
