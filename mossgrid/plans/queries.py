@@ -12,6 +12,7 @@ from mossgrid.functions.fields import category, file_name, file_names, image_pat
 from mossgrid.operators import evaluation as E
 from mossgrid.operators import preparation as P
 from mossgrid.operators import submit
+from mossgrid.operators.entry import details
 from mossgrid.operators.split_values import split_values
 from mossgrid.plans.runtime import cut_lineage
 
@@ -192,11 +193,7 @@ def reference_validity(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def prediction_details(spark: SparkSession, d: str) -> DataFrame:
-    """Question, output, parsed output as text, reference and validity of every pair."""
-    shown = F.coalesce(
-        "p_label", F.array_join("p_labels", "; "), text_of(F.col("p_boxes")), F.to_json("p_inst"), F.col("p_number").cast("string"), "p_text"
-    )
-    return values(spark, d).select("pred_id", "question", F.col("output").alias("model_output"), shown.alias("parsed_output"), "reference", F.col("valid").alias("valid_for_metrics"))
+    return details(values(spark, d)).drop("model", "task")
 
 
 # Submission
@@ -279,7 +276,7 @@ def _resolved(spark: SparkSession, d: str, q: DataFrame) -> DataFrame:
 
 @query
 def path_resolve(spark: SparkSession, d: str) -> DataFrame:
-    """First image of a question; path_resolve_each has those of the whole list, as the SQL of this one stops at the first."""
+    """First image of a question; those of the whole list are in path_resolve_each."""
     q = table(spark, d, "questions").select("rec_id", "dataset", F.get(image_paths(F.col("ImageName")), F.lit(0)).alias("p")).where("p IS NOT NULL")
     return _resolved(spark, d, q).select("rec_id", "image")
 
@@ -397,7 +394,8 @@ def multilabel_f1(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Overlap of the first predicted box with each reference box, where there is any."""
+    """Overlap of the first predicted box with each reference box, where there is any; those of
+    all predicted boxes are in iou_all_pairs."""
     v = values(spark, d, "detection").where("size(p_boxes) > 0")
     iou = geometry.overlap(F.get("p_boxes", F.lit(0)), F.col("r"))
     return v.select("pred_id", "p_boxes", F.posexplode("r_boxes").alias("pos", "r")).select("pred_id", "pos", rounded(iou).alias("iou")).where("iou > 0")
@@ -405,8 +403,7 @@ def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def iou_all_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Overlap of every predicted box with every reference box; iou_pairs has those of the
-    first predicted box only, as its SQL does."""
+    """Overlap of every predicted box with every reference box."""
     return E.box_pairs(values(spark, d, "detection")).withColumn("iou", rounded("iou"))
 
 
@@ -537,16 +534,15 @@ def green_missed_top5(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bleu(spark: SparkSession, d: str) -> DataFrame:
-    """BLEU of reports, up to pairs of words."""
-    out = E.bleu(_reports(spark, d), ["model"], "pred_id", "p_text", "r_text", n_gram=2)
+    """BLEU of reports with all four orders."""
+    out = E.bleu(_reports(spark, d), ["model"], "pred_id", "p_text", "r_text")
     return out.select("model", rounded("bleu_score").alias("bleu_score"))
 
 
 @query
 def bleu_4(spark: SparkSession, d: str) -> DataFrame:
-    """BLEU of reports with all four orders; bleu stops at pairs of words, as its SQL does."""
-    out = E.bleu(_reports(spark, d), ["model"], "pred_id", "p_text", "r_text")
-    return out.select("model", rounded("bleu_score").alias("bleu_score"))
+    """Another name of bleu, from when that stopped at pairs of words."""
+    return bleu(spark, d)
 
 
 @query
