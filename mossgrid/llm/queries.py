@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mossgrid.llm import canonical, mixture, overlap, pairs, quota, related, spans, tokens
+from mossgrid.llm.oracle import ORACLE as ORACLE
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -86,23 +87,3 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_report, p2_found, p2_sample, p2_report, p3_found, p3_collapsed, p4_found, p4_splits, p6_found, p6_report, p7_ids, p8_found, p8_report, p8_mixture, p9_found)
 }
-
-#: Texts are windowed and records matched by plain SQL; the other problems' results have
-#: no short SQL and are tested against brute force.
-ORACLE: dict[str, str] = {
-    "p1_found": r"""WITH n AS (
-  SELECT rec_id, split_dir, list_sort(list_distinct(regexp_extract_all(lower(ImageName), '[^/\\\[\]\s"'',]+\.[a-z0-9]+'))) AS f,
-    regexp_extract_all(lower(Answer), '[\p{L}\p{N}]+') AS a, list_distinct(regexp_extract_all(lower(Question), '[\p{L}\p{N}]+')) AS q FROM questions),
-k AS (SELECT * FROM n WHERE len(f) > 0 AND len(a) > 0 AND len(q) > 0)
-SELECT least(t.rec_id, e.rec_id) AS rec_id_a, greatest(t.rec_id, e.rec_id) AS rec_id_b FROM k t JOIN k e ON t.f = e.f AND t.a = e.a
-WHERE t.split_dir = 'training' AND e.split_dir <> 'training' AND len(list_intersect(t.q, e.q)) * 5 >= 4 * greatest(len(t.q), len(e.q))""",
-    "p2_found": """WITH q AS (SELECT translate(lower(trim(Modality)), '-_', '  ') AS m, translate(lower(trim(TaskType)), '-_', '  ') AS t FROM questions),
-c AS (SELECT m, t, count(*) AS n FROM q GROUP BY ALL), z AS (SELECT count(*) // 10 AS size FROM questions)
-SELECT g.Modality, g.TaskType FROM category_targets g CROSS JOIN z
-LEFT JOIN c ON c.m = translate(lower(trim(g.Modality)), '-_', '  ') AND c.t = translate(lower(trim(g.TaskType)), '-_', '  ')
-WHERE coalesce(c.n, 0) < greatest(g.min_rows, (g.target_permille * z.size + 999) // 1000)""",
-    "p9_found": """WITH w AS (SELECT doc_id, s, md5(substr(text, s, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS s FROM documents WHERE length(text) >= 200)),
-h AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
-x AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS b FROM w SEMI JOIN h USING (h))
-SELECT doc_id, sum(CASE WHEN b IS NULL OR s - b >= 200 THEN 200 ELSE s - b END)::BIGINT AS shared_chars FROM x GROUP BY doc_id""",
-}
