@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of letters and digits.
@@ -68,6 +68,28 @@ def file_names(field: Column) -> Column:
     return F.when(raw.startswith("["), F.coalesce(F.sort_array(F.array_distinct(several)), single)).otherwise(single)
 
 
+def with_file_names(df: DataFrame, field: str, out: str) -> DataFrame:
+    """Adds :func:`file_names` of a field, one projection a step: a nested expression would
+    evaluate the steps it uses more than once again each time."""
+    named = df.withColumn("__raw", strip(F.col(field))).withColumn("__name", file_name(F.col("__raw")))
+    none = F.array().cast("array<string>")
+    single = F.when(F.col("__name") != "", F.array("__name")).otherwise(none)
+    several = F.filter(F.transform(_listed(F.col("__raw")), file_name), lambda n: n.isNotNull() & (n != ""))
+    names = F.when(F.col("__raw").startswith("["), F.coalesce(F.sort_array(F.array_distinct(several)), single)).otherwise(single)
+    return named.withColumn(out, names).drop("__raw", "__name")
+
+
+def with_study_keys(df: DataFrame, field: str, out: str) -> DataFrame:
+    """Adds :func:`study_keys` of a field, one projection a step."""
+    named = with_file_names(df, field, "__names").withColumn("__first", F.get("__names", F.lit(0)))
+    keyed = named.withColumn("__key", study_key(F.col("__first")))
+    none = F.array().cast("array<string>")
+    one = F.when(F.col("__key") != "", F.array("__key")).otherwise(none)
+    many = F.sort_array(F.array_distinct(F.filter(F.transform("__names", study_key), lambda k: k != "")))
+    keys = F.when(F.size("__names") == 1, one).when(F.size("__names") > 1, many).otherwise(none)
+    return keyed.withColumn(out, keys).drop("__names", "__first", "__key")
+
+
 def study_key(name: Column) -> Column:
     """A file's name up to its last underscore; without one, its name without extension."""
     return F.when(

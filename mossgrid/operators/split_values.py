@@ -9,6 +9,7 @@ fewest values, and only what lies between them is cut at delimiters.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -62,9 +63,7 @@ class Segmenter:
         ends, best = [0], [(0, 0)]  # (characters, -values) of the best cover up to that end
         chosen: list[tuple | None] = [None]
         for begin, end, term in found:
-            i = len(ends) - 1
-            while ends[i] > begin:
-                i -= 1
+            i = bisect_right(ends, begin) - 1
             score = (best[i][0] + end - begin, best[i][1] - 1)
             if score > best[-1]:
                 ends.append(end)
@@ -106,10 +105,10 @@ def split_values(df: DataFrame, terms: DataFrame, *, id_col: str, value_col: str
     rows = terms.select(F.col(term_col).alias("t")).where("t IS NOT NULL").distinct().limit(MAX_TERMS + 1).collect()
     if len(rows) > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} known values")
-    known = [r["t"] for r in rows]
+    known = df.sparkSession.sparkContext.broadcast([r["t"] for r in rows])  # at most MAX_TERMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, seen = Segmenter(known), {}
+        segmenter, seen = Segmenter(known.value), {}
         for batch in batches:
             ids, places, values, flags = [], [], [], []
             for key, text in zip(batch.column("id").to_pylist(), batch.column("field").to_pylist(), strict=True):
