@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mossgrid.functions.fields import category, study_keys
+from mossgrid.functions.fields import category, with_study_keys
 from mossgrid.plans.runtime import cut_lineage
 
 
@@ -89,12 +89,9 @@ def components(links: DataFrame) -> DataFrame:
 def study_groups(df: DataFrame, id_col: str = "rec_id") -> tuple[DataFrame, DataFrame]:
     """(records, groups). Records: id, study (first key), TaskType, for records with an
     image. Groups: study, group_key, n_rows of the whole group, for every first key."""
+    fields = df.select(F.col(id_col).alias("id"), category(F.col("TaskType")).alias("task"), F.col("ImageName").alias("field"))
     parsed = cut_lineage(
-        df.select(
-            F.col(id_col).alias("id"),
-            category(F.col("TaskType")).alias("task"),
-            study_keys(F.col("ImageName")).alias("keys"),
-        ).select(
+        with_study_keys(fields, "field", "keys").select(
             "id",
             "task",
             F.get("keys", F.lit(0)).alias("study"),
