@@ -18,7 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mossgrid.functions.fields import file_names, word_text, words
+from mossgrid.functions.fields import with_file_names, word_text, words
 from mossgrid.plans.runtime import cut_lineage, fingerprint
 
 #: Slots of the word counter. Words of one slot share a count: that only changes their
@@ -32,14 +32,15 @@ def _records(df: DataFrame, id_col: str, split_col: str, train: str) -> DataFram
     Key columns are never null and nothing filters on them: a filter on a computed column
     would be pushed below the projection and compute it a second time.
     """
-    base = df.select(
+    fields = df.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(split_col) == train, F.lit(False)).alias("train"),
         F.col(split_col).isNotNull().alias("placed"),
-        F.array_join(file_names(F.col("ImageName")), "\u0001").alias("names"),
+        F.col("ImageName").alias("field"),
         F.coalesce(word_text(F.col("Answer")), F.lit("")).alias("answer"),
         "Question",
     )
+    base = with_file_names(fields, "field", "files").withColumn("names", F.array_join("files", "\u0001"))
     k1, k2 = fingerprint(F.col("names"), F.col("answer"))
     ok = F.col("placed") & (F.col("names") != "") & (F.col("answer") != "")
     return base.select("id", "train", ok.alias("ok"), k1.alias("k1"), k2.alias("k2"), "Question")
@@ -146,12 +147,14 @@ def cross_split_overlaps(
     )
 
 
-def overlap_report(df: DataFrame, pairs: DataFrame, *, id_col: str = "rec_id", split_col: str = "split_dir") -> DataFrame:
+def overlap_report(
+    df: DataFrame, pairs: DataFrame, *, id_col: str = "rec_id", split_col: str = "split_dir", train: str = "training"
+) -> DataFrame:
     """Per evaluation split and dataset: rows, rows with a training partner, pairs."""
     hits = pairs.groupBy("eval_id").agg(F.count("*").alias("n_pairs"))
     rows = df.select(F.col(id_col).cast("long").alias("eval_id"), F.col(split_col).alias("split_dir"), "dataset")
     return (
-        rows.where(F.col("split_dir") != "training")
+        rows.where(F.col("split_dir") != train)
         .join(hits, "eval_id", "left")
         .groupBy("split_dir", "dataset")
         .agg(
