@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mossgrid.functions.fields import with_file_names, word_text, words
-from mossgrid.plans.runtime import cut_lineage, fingerprint
+from mossgrid.plans.runtime import fingerprint, written
 
 #: Slots of the word counter. Words of one slot share a count: that only changes their
 #: order, which must be the same on both sides but may be any.
@@ -80,7 +80,7 @@ def overlapping_classes(classes: DataFrame, num: int, den: int) -> DataFrame:
         lambda s: s["w"],
     )
     # Written once: the sort would otherwise be evaluated again in every later expression.
-    sorted_ = cut_lineage(classes.withColumn("ws", rare_first).drop("q")).withColumn("n", F.size("ws"))
+    sorted_ = written(classes.withColumn("ws", rare_first).drop("q")).withColumn("n", F.size("ws"))
     prefixed = sorted_.withColumn("prefix", F.slice("ws", 1, F.col("n") - _needed(F.col("n"), num, den) + 1))
 
     def side(flag: str, tag: str) -> DataFrame:
@@ -130,7 +130,7 @@ def cross_split_overlaps(
         .select("k1", "k2")
     )
     question = F.array_join(F.sort_array(F.array_distinct(words(F.col("Question")))), " ")
-    kept = cut_lineage(
+    kept = written(
         records.join(both, ["k1", "k2"], "left_semi")
         .where("ok")
         .select("id", "train", "k1", "k2", question.alias("q"))
