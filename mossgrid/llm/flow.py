@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from fractions import Fraction
 from math import ceil, floor
@@ -102,21 +103,18 @@ def controlled_rounding(table: dict[tuple, Fraction]) -> dict[tuple, int]:
 
 def fill(shares: dict, low: dict, high: dict, total: int) -> dict[tuple, Fraction]:
     """Fractional amounts proportional to ``shares`` within [low, high], summing to
-    ``total`` or as near to it as the bounds allow. Exact: walks the breakpoints of the
-    common factor."""
+    ``total`` or as near to it as the bounds allow. Exact: the common factor lies between two
+    of its breakpoints, which are found by bisection."""
     shares = {k: Fraction(s) for k, s in shares.items()}
 
     def at(factor: Fraction) -> dict:
         return {k: min(max(factor * s, Fraction(low[k])), Fraction(high[k])) for k, s in shares.items()}
 
     points = sorted({Fraction(b[k]) / s for k, s in shares.items() if s for b in (low, high)} | {Fraction(0)})
-    below = points[0]
-    for point in points:
-        if sum(at(point).values()) >= total:
-            break
-        below = point
-    else:
+    i = bisect_left(points, True, key=lambda point: sum(at(point).values()) >= total)
+    if i == len(points):
         return at(points[-1])
+    below, point = points[max(0, i - 1)], points[i]
     a, b = sum(at(below).values()), sum(at(point).values())
     if b <= total or a >= total or a == b:
         return at(below if a >= total else point)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from mossgrid.functions.fields import category
 from mossgrid.llm.flow import controlled_rounding, fill
-from mossgrid.plans.runtime import budget_cut
+from mossgrid.plans.runtime import budget_cut, written
 
 #: Most target rows that may be read to the driver.
 MAX_TARGETS = 100_000
@@ -100,7 +100,8 @@ def proportional_sample(
         ],
         "cell int, m string, t string, Modality string, TaskType string, budget long, available long, wanted long, short long",
     )
-    cells = placed.join(F.broadcast(budgets.select("cell", "m", "t")), ["m", "t"]).select("id", "cell")
+    # Names are brought to normal form once; the cut reads the rows three times.
+    cells = written(placed.join(F.broadcast(budgets.select("cell", "m", "t")), ["m", "t"]).select("id", "cell"))
     drawn = budget_cut(
         cells, budgets, "cell", F.xxhash64(F.lit(seed), "id"), F.lit(1), tie="id"
     ).select("id", "cell")
