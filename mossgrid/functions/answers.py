@@ -48,6 +48,7 @@ def cleaned(output: Column) -> Column:
 
 
 
+# The patterns of letters, lists and numbers in the parsers below.
 def choice(text: Column) -> Column:
     """Classification: the first letter A to E that stands alone, else the last word."""
     letter = F.regexp_extract(F.upper(text), r"\b([A-E])(?:[.)\s]|$)", 1)

@@ -86,6 +86,19 @@ def image_tokens(ids: Column, image_id: int) -> Column:
     return F.size(F.filter(ids, lambda t: t == image_id))
 
 
+def batch_check(ids: Column, n_images: Column, n_texts: Column, image_id: int) -> Column:
+    """What may be wrong with a batch: no ids, another number of images than of texts; and the
+    image tokens of its ids."""
+    return F.struct(
+        ids.isNull().alias("no_ids"), (n_images != n_texts).alias("mismatch"), F.coalesce(image_tokens(ids, image_id), F.lit(0)).alias("image_tokens")
+    )
+
+
+def error_rate(errors: Column, batches: Column) -> Column:
+    """Failed batches in percent; null before the first."""
+    return F.try_divide(errors * 100.0, batches)
+
+
 def hit_rate(hits: Column, misses: Column) -> Column:
     """Share of look-ups that a cache answered; null before the first."""
     return F.try_divide(hits.cast("double"), hits + misses)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mossgrid.functions.fields import strip
 
+# Patterns of boxes, confidences, list marks and labels.
 BOX = r"\[(\d+),\s*(\d+),\s*(\d+),\s*(\d+)\]"
 # Words that open a report section, by section.
 HEADERS = {
@@ -57,6 +58,15 @@ def box_label(before: Column) -> Column:
     return F.when(hit != "", strip(hit)).otherwise("abnormality")
 
 
+def labelled_boxes(output: Column) -> Column:
+    """Boxes of an output in order with the label that stands before each."""
+    raw = F.coalesce(output, F.lit(""))
+    hits = F.regexp_extract_all(raw, F.lit(BOX), F.lit(0))
+    before = F.split(raw, BOX)
+    numbers = lambda hit: F.transform(F.regexp_extract_all(hit, F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("bigint"))
+    return F.transform(hits, lambda hit, i: F.struct(box_label(F.get(before, i)).alias("label"), numbers(hit).alias("box")))
+
+
 def first_count(output: Column) -> Column:
     """First run of digits, else zero, as text."""
     hit = F.regexp_extract(F.coalesce(output, F.lit("")), r"(\d+)", 1)

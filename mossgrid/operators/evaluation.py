@@ -257,8 +257,12 @@ def instance_names(df: DataFrame, keys: list[str], threshold: float = 0.3) -> Da
     return with_ratios(_sums(matched, [*keys, "inst"])).drop("n_rows")
 
 
-def instance_detection(df: DataFrame, keys: list[str]) -> DataFrame:
-    """F1 above one half (``f1_score``), at 0.3 and 0.5, and means over the thresholds."""
+def instance_detection(df: DataFrame, keys: list[str], *, compat_versions: bool = False) -> DataFrame:
+    """F1 above one half (``f1_score``), at 0.3 and 0.5, and means over the thresholds.
+
+    ``compat_versions``: where :func:`instance_versions` tells v1_original_only, only the
+    metrics above one half are given.
+    """
     swept = instance_sweep(df, keys)
     at = lambda t, m: F.max(F.when(F.col("threshold") == t, F.col(m)))
     out = swept.groupBy(*keys).agg(
@@ -275,7 +279,22 @@ def instance_detection(df: DataFrame, keys: list[str]) -> DataFrame:
     )
     metrics = [c for c in out.columns if c not in keys]
     counted = df.groupBy(*keys).agg(F.count("*").alias("valid_samples"))
-    return _long(counted.join(out, keys, "left").fillna(0.0, metrics), keys, [*metrics, "valid_samples"])
+    long = _long(counted.join(out, keys, "left").fillna(0.0, metrics), keys, [*metrics, "valid_samples"])
+    if not compat_versions:
+        return long
+    original = F.col("metric").isin("f1_score", "precision", "recall", "valid_samples")
+    first = instance_versions(df, keys).where("n_broken > 0").select(*keys, F.lit(True).alias("first"))
+    return long.join(first, keys, "left").where(F.col("first").isNull() | original).drop("first")
+
+
+def instance_versions(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metrics_version, n_broken): v1_original_only where a box that would be compared
+    hasn't four numbers, so that only the metrics above one half are sound; else v2."""
+    rows = instance_rows(df, keys)
+    odd = lambda c: F.exists(c, lambda b: F.size(b) != 4)
+    broken = (F.size("p_boxes") > 0) & (F.size("r_boxes") > 0) & (odd("p_boxes") | odd("r_boxes"))
+    counted = rows.groupBy(*keys).agg(F.count(F.when(broken, 1)).alias("n_broken"))
+    return counted.select(*keys, F.when(F.col("n_broken") > 0, "v1_original_only").otherwise("v2").alias("metrics_version"), "n_broken")
 
 
 def number_errors(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -219,6 +219,13 @@ l AS (SELECT pred_id, raw, unnest(lines) AS line, generate_subscripts(lines, 1)
 s AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY pred_id ORDER BY i), 'findings') AS section FROM h),
 p AS (SELECT pred_id, any_value(raw) AS raw, {_PART('findings')} AS f, {_PART('impression')} AS im, {_PART('recommendations')} AS re FROM s GROUP BY pred_id)
 SELECT pred_id, CASE WHEN f = '' AND im = '' AND re = '' THEN {O.strip('raw')} ELSE f END AS findings, im AS impression, re AS recommendations FROM p"""
+# The text between two boxes; its last words are the label.
+_SPLIT = r"\[\d+,\s*\d+,\s*\d+,\s*\d+\]"
+ORACLE["submit_box_labels"] = rf"""WITH {O.OUT}, h AS (SELECT pred_id, regexp_split_to_array(raw, '{_SPLIT}') AS b, regexp_extract_all(raw, '{_SPLIT}') AS k FROM c WHERE task IN ('detection', 'instance_detection')),
+u AS (SELECT pred_id, unnest(k) AS k, b, generate_subscripts(k, 1) AS i FROM h)
+SELECT pred_id, (i - 1)::INT AS pos, coalesce(nullif({O.strip(r"regexp_extract(b[i], '(\w+[\w\s]*)\s*:?\s*$', 1)")}, ''), 'abnormality') AS label, regexp_replace(k, '[\[\]\s]', '', 'g') AS box FROM u"""
+ORACLE["instance_versions"] = f"""WITH {O.INST}, b4 AS (SELECT model, len(pb) > 0 AND len(rb) > 0 AND len(list_filter(list_concat(pb, rb), lambda x: len(x) <> 4)) > 0 AS broken FROM n)
+SELECT model, CASE WHEN bool_or(broken) THEN 'v1_original_only' ELSE 'v2' END AS metrics_version, count(*) FILTER (broken) AS n_broken FROM b4 GROUP BY model"""
 
 _LABEL, _LABELS, _BOXES = O.choice_of("t"), O.labels_of("t"), O.boxes_of("t")
 ORACLE["prediction_details"] = rf"""WITH {O.PAIRS}, d AS (SELECT *, CASE task WHEN 'counting' THEN ({O.count_of('t')})::DOUBLE WHEN 'regression' THEN {O.measure_of('t')} END AS number,

@@ -214,6 +214,18 @@ def submit_detection(spark: SparkSession, d: str) -> DataFrame:
     return outputs(spark, d, "detection", "instance_detection").select("pred_id", submission.box_list(F.col("raw")).alias("answer"))
 
 
+@query
+def submit_box_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of detection outputs with their labels and places."""
+    found = outputs(spark, d, "detection", "instance_detection").select("pred_id", F.posexplode(submission.labelled_boxes(F.col("raw"))).alias("pos", "x"))
+    return found.select("pred_id", "pos", "x.label", F.array_join(F.col("x.box").cast("array<string>"), ",").alias("box"))
+
+
+@query
+def instance_versions(spark: SparkSession, d: str) -> DataFrame:
+    return E.instance_versions(values(spark, d, "instance_detection"), ["model"])
+
+
 @query
 def submit_counting(spark: SparkSession, d: str) -> DataFrame:
     return outputs(spark, d, "counting", "regression").select("pred_id", submission.first_count(F.col("raw")).alias("answer"))
