@@ -112,6 +112,8 @@ HANGING = set(
 )
 LEADS = {"question", "frage", "pregunta", "q", "prompt", "answer", "antwort", "réponse", "respuesta"}
 
+BEYOND_LATIN = re.compile(r"[^\x00-\u036f]")
+APOSTROPHES = re.compile(r"['’`]")
 WORD = re.compile(r"[^\W_]+")
 END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 OPTION = re.compile(r"(?:(?<=^)|(?<=[\s,;:(]))\(?([A-Za-z])\s?[).:]\s+(?=\S)")
@@ -129,15 +131,18 @@ def words(text: str) -> list[str]:
 
 def _bare(text: str) -> str:
     """Lower-case words without accents and apostrophes, single blanks."""
-    text = unicodedata.normalize("NFKD", re.sub(r"['’`]", "", text.lower()))
+    text = APOSTROPHES.sub("", text.lower())
+    if text.isascii():
+        return " ".join(WORD.findall(text))
+    text = unicodedata.normalize("NFKD", text)
     return " ".join(WORD.findall("".join(c for c in text if not unicodedata.combining(c))))
 
 
 def _script(sequence: list[str]) -> str | None:
     """The script that most letters are of, by the first word of their names."""
     text = "".join(sequence)
-    if text.isascii():
-        return "LATIN" if any(c.isalpha() for c in text) else None
+    if not BEYOND_LATIN.search(text):
+        return None if text.isdigit() or not text else "LATIN"
     counts = Counter(unicodedata.name(c, "?").split()[0] for c in text if c.isalpha())
     return counts.most_common(1)[0][0] if counts else None
 
@@ -238,7 +243,10 @@ class DefectFinder:
         if not replied:
             return False
         votes = self.votes(asked)
-        total = {language: sum(n for languages, n in votes.items() if language in languages) for language in STOPWORDS}
+        total = dict.fromkeys(STOPWORDS, 0)
+        for languages, n in votes.items():
+            for language in languages:
+                total[language] += n
         most = max(total, key=total.get)
         if total[most] < 2:
             return False
@@ -287,6 +295,8 @@ class DefectFinder:
 
     def _refuses(self, answer: str) -> bool:
         """Whether a clause refuses by itself, or declines an act of answering."""
+        if next(self.refusals.iter(f" {_bare(answer)} "), None) is None:
+            return False
         for clause in CLAUSE.split(answer):
             bare = f" {_bare(clause)} "
             for last, alone in self.refusals.iter(bare):
