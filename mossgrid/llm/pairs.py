@@ -118,6 +118,8 @@ WORD = re.compile(r"[^\W_]+")
 END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 OPTION = re.compile(r"(?:(?<=^)|(?<=[\s,;:(]))\(?([A-Za-z])\s?[).:]\s+(?=\S)")
 REPLY_LETTER = re.compile(r"(?:->|=>|→|:|\n)\s*\(?([A-Z])\)?[.)]?\s*$")
+GOES_ON = re.compile(r"\s+(?=[^\W\d_a-zà-öø-ÿ])|[^\w\s'’-]")
+ANY_WORD = re.compile(r"\s+(?=\w)|[^\w\s'’-]")
 SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
 CLAUSE = re.compile(r"[.,;:!?…。！？\n]+")
 #: A letter that ends a sentence: the option it states.
@@ -264,6 +266,18 @@ class DefectFinder:
         ends = [m.start() for m in marks[1:]] + [len(question)]
         return {m[1].upper(): " ".join(words(question[m.end() : e])) for m, e in zip(marks, ends, strict=True)} if len(marks) > 1 else {}
 
+    @staticmethod
+    def ends(question: str, options: dict[str, str]) -> set[str]:
+        """What the last option may be, as the question may go on behind it: its text up to a
+        mark or to a word with a capital; up to any word where the question has one case only."""
+        if not options:
+            return set()
+        last = [m for m in OPTION.finditer(question) if m[1].upper() == max(options)][-1]
+        text = question[last.end() :]
+        one_case = question in (question.upper(), question.lower())
+        borders = [m.start() for m in (ANY_WORD if one_case else GOES_ON).finditer(text)]
+        return {" ".join(words(text[:b])) for b in borders} - {""}
+
     def find(self, task: str | None, question: str | None, answer: str | None) -> str | None:
         if answer is None:
             return "empty"
@@ -275,14 +289,15 @@ class DefectFinder:
             return None if boxes and shown in ("[]", "{}", "[[]]") else "empty"
         text = " ".join(said)
         options = self.options(question) if task == "classification" or not task else {}
-        if text in options.values() or (len(said) == 1 and said[0].upper() in options):
+        ends = self.ends(question, options)
+        if text in options.values() or text in ends or (len(said) == 1 and said[0].upper() in options):
             return None
         if text in PLACEHOLDERS and text not in self.labels:
             return "empty"
         if self._refuses(answer) and not self._answers(task, answer, options):
             return "refusal"
         stated = STATED.search(answer.strip()) if options else None
-        if stated and stated[1] in options and " ".join(words(stated[2])) in ("", options[stated[1]]):
+        if stated and stated[1] in options and (" ".join(words(stated[2])) in ("", options[stated[1]]) or stated[1] == max(options) and " ".join(words(stated[2])) in ends):
             replied = True
         else:
             replied = bool(options and (m := REPLY_LETTER.search(answer)) and m[1] in options)
@@ -401,10 +416,10 @@ def broken_pairs(df: DataFrame, terms: DataFrame, *, id_col: str = "pred_id") ->
     rows = terms.select("term").where("term IS NOT NULL").distinct().limit(MAX_TERMS + 1).collect()
     if len(rows) > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} labels")
-    labels = [r["term"] for r in rows]
+    labels = df.sparkSession.sparkContext.broadcast([r["term"] for r in rows])  # at most MAX_TERMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = DefectFinder(labels)
+        finder = DefectFinder(labels.value)
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("task", "q", "a"))
             found = pa.array([finder.find(t, q, a) for t, q, a in zip(*columns, strict=True)], pa.string())

@@ -32,3 +32,20 @@ FRENCH = "Quelle anomalie correspond le mieux à cette image du genou, prise sur
 )
 def test_defects(task, question, answer, defect):
     assert DefectFinder(TERMS).find(task, question, answer) == defect
+
+
+@pytest.mark.parametrize(
+    "question,answer,defect",
+    [
+        ("Options: A: mass B: air leak Dear reader: Which finding is best?", "B. air leak", None),
+        ("Which finding is best?\nA. mass\nB. air leak Answer briefly.", "The answer is B: air leak", None),
+        ("Which finding is best? A) mass, B) air leak (one answer)", "B", None),
+        ("WHICH FINDING IS BEST? A) MASS, B) AIR LEAK ANSWER BRIEFLY.", "B. air leak", None),
+        ("WHICH FINDING IS BEST? A) MASS, B) AIR LEAK ANSWER BRIEFLY.", "B. air le", "truncated"),
+        ("Which finding is best?\nA. mass\nB. air leak Answer briefly.", "B. air", "truncated"),
+        ("Which finding is best?\nA. air leak\nB. mass Answer briefly.", "A. air", "truncated"),
+        ("Frage: Welcher Befund? A) Masse, B) linke Zyste Frage: Welcher?", "B. linke Zyste", None),
+    ],
+)
+def test_text_behind_the_last_option(question, answer, defect):
+    assert DefectFinder(TERMS).find("classification", question, answer) == defect
