@@ -32,13 +32,15 @@ def build_session(app: str = "mossgrid", cores: str | int = "*", **conf: str) ->
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point the context at the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` of the session wins. Only where it is unset (tests, a
-    single machine) a temporary folder is used.
+    ``spark.checkpoint.dir`` of the session wins. Only on a single machine (tests) a temporary
+    folder is used where it is unset; on a cluster that is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="mossgrid-checkpoint-"))
 
 
