@@ -5,7 +5,8 @@ graph's nodes are study keys; a record that names several studies links them. Co
 are found by frontier breadth-first search from many seeds at once: the seeds are the
 nodes whose random rank is below that of all their neighbours, so every node has a short
 falling path to one. Where two seeds' regions meet, an edge between the seeds enters a
-smaller graph, whose components are found in the same way until no regions meet.
+smaller graph. Once that is small enough for one task its seeds are merged there; till then
+its components are found in the same way.
 
 Splits are then given to whole components: large ones first, the rest in hash order within
 the TaskType that most of their records have.
@@ -17,6 +18,9 @@ without target splits, or with shares of zero only, every record's split is null
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +56,31 @@ class Adjacency:
         return met.groupBy(F.col("b").alias("node")).agg(F.min("seed").alias("seed"))
 
 
+#: Most links of a graph of seeds that one task merges.
+SMALL_LINKS = 200_000
+
+
+def merged_seeds(links: DataFrame) -> DataFrame:
+    """(node, label) for the nodes of at most SMALL_LINKS links (a, b): trees of labels, in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[str, str] = {}
+
+        def root(node: str) -> str:
+            parent.setdefault(node, node)
+            while parent[node] != node:
+                parent[node] = node = parent[parent[node]]
+            return node
+
+        for batch in batches:
+            for a, b in zip(batch["a"], batch["b"], strict=True):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+        yield pd.DataFrame({"node": list(parent), "label": [root(n) for n in list(parent)]}, dtype="object")
+
+    return links.coalesce(1).mapInPandas(run, "node string, label string")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of the links (a, b); label is one node of the component.
 
@@ -74,7 +103,7 @@ def components(links: DataFrame) -> DataFrame:
     left, right = (
         reached.select(F.col("node").alias(n), F.col("seed").alias(s)) for n, s in (("a", "sa"), ("b", "sb"))
     )
-    collisions = (
+    collisions = cut_lineage(
         adjacency.links.where("a < b")
         .join(left, "a")
         .join(right, "b")
@@ -82,7 +111,8 @@ def components(links: DataFrame) -> DataFrame:
         .select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
         .distinct()
     )
-    merged = components(collisions).select(F.col("node").alias("seed"), F.col("label").alias("merged"))
+    small = collisions.count() <= SMALL_LINKS
+    merged = (merged_seeds if small else components)(collisions).select(F.col("node").alias("seed"), F.col("label").alias("merged"))
     return reached.join(merged, "seed", "left").select("node", F.coalesce("merged", "seed").alias("label"))
 
 
@@ -100,7 +130,7 @@ def study_groups(df: DataFrame, id_col: str = "rec_id") -> tuple[DataFrame, Data
     )
     records = parsed.where("study IS NOT NULL")
     links = records.where("others IS NOT NULL").select(F.col("study").alias("a"), F.explode("others").alias("b")).distinct()
-    labels = components(links)
+    labels = cut_lineage(components(links))
     smallest = labels.groupBy("label").agg(F.min("node").alias("group_key"))
     named = labels.join(smallest, "label").select(F.col("node").alias("study"), "group_key")
     per_study = records.groupBy("study").agg(F.count("*").alias("n"))

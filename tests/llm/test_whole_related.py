@@ -39,3 +39,12 @@ def test_many_task_names(spark):
     assert len(out) == 4000 and all(r["split_name"] for r in out)
     assert len({(r["group_key"], r["split_name"]) for r in out}) == len({r["group_key"] for r in out})
     assert abs(sum(r["split_name"] == "train" for r in out) / 4000 - 0.8) < 0.05
+
+
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_graphs_of_seeds(spark, monkeypatch, small):
+    """Seeds merged in one task or level by level give the same components."""
+    monkeypatch.setattr(related, "SMALL_LINKS", small)
+    links = [(f"p{i}", f"p{i + 1}") for i in range(60)] + [(f"q{i}", f"q{i + 7}") for i in range(40)]
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert len(got) == 61 + 47 and len({v for n, v in got.items() if n[0] == "p"}) == 1 and len({v for n, v in got.items() if n[0] == "q"}) == 7
