@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mossgrid.plans.runtime import cut_lineage, spread
+from mossgrid.plans.runtime import spread, written
 
 LENGTH = 200
 #: Stretches of one prefix that are handled in memory, counted at one and a half lengths each.
@@ -341,7 +341,7 @@ def shared_in_large_groups(pieces: DataFrame, length: int) -> DataFrame:
     """
     found: list[DataFrame] = []
     columns = ["id", "v", "begins", "n", "lead", "piece", "done"]
-    rows = cut_lineage(_blocks(pieces.withColumn("done", F.lit(False)), LEVELS[0], length).select(*columns))
+    rows = written(_blocks(pieces.withColumn("done", F.lit(False)), LEVELS[0], length).select(*columns))
     for size in (*LEVELS[1:], 0):
         texts = _by_text(rows, "piece").withColumn("shared", (F.col("a") != F.col("z")) | F.col("some"))
         placed = rows.withColumn("h", F.xxhash64("piece")).join(texts.select("h", "piece", "shared"), ["h", "piece"]).where("NOT done")
@@ -356,7 +356,7 @@ def shared_in_large_groups(pieces: DataFrame, length: int) -> DataFrame:
         cores = _blocks(longer, size, length)
         # Only what occurs elsewhere too, and isn't all done, goes on.
         kept = _by_text(cores, "core").where("(a <> z OR some) AND NOT all").select("h", "core")
-        rows = cut_lineage(cores.withColumn("h", F.xxhash64("core")).join(kept, ["h", "core"], "left_semi").select(*columns))
+        rows = written(cores.withColumn("h", F.xxhash64("core")).join(kept, ["h", "core"], "left_semi").select(*columns))
         if rows.isEmpty():
             break
     return reduce(DataFrame.unionByName, found)
@@ -375,7 +375,7 @@ def shared_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         .select("id", F.xxhash64("text").alias("v"), "text")
     )
     marks = texts.select("id", "v", F.unhex(F.sha2("text", 256)).alias("digest"), F.length("text").cast("long").alias("size"))
-    classes = cut_lineage(
+    classes = written(
         marks.groupBy("digest", "size").agg(F.min(F.struct("id", "v")).alias("first"), F.max("id").alias("last"))
     )
     # Equal texts: all of each is shared. The first of them stands for it below.
@@ -392,7 +392,7 @@ def shared_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         .agg(F.min("id").alias("a"), F.max("id").alias("z"), F.sum(F.col("n") + (length - 1)).alias("chars"))
         .where("a <> z")
     )
-    groups = cut_lineage(shared.select("prefix", (F.col("chars") > GROUP_ROWS * length * 3 // 2).alias("large")))
+    groups = written(shared.select("prefix", (F.col("chars") > GROUP_ROWS * length * 3 // 2).alias("large")))
 
     def pieces(large: bool) -> DataFrame:
         """The texts of the stretches of the groups of one kind, as PIECES or as PARTS."""
