@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from mossgrid.functions import answers, geometry, lexicon, reports
 from mossgrid.functions.fields import strip
 from mossgrid.functions.tasks import parser_kind, primary_metric, route, task_name
-from mossgrid.plans.runtime import written
+from mossgrid.plans.runtime import spread, written
 
 THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7]
 COMPONENTS = [*lexicon.WEIGHTS, "overall", "severity_correlation"]
@@ -328,7 +328,7 @@ def bleu(df: DataFrame, keys: list[str], id_col: str, generated: str, reference:
     than n words has precision zero; an order without any match makes the score zero.
     """
     tokens = lambda c: F.array_remove(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"(?U)\s+"), "")
-    placed = df.select(*keys, id_col, generated, reference).repartition(id_col)
+    placed = spread(df.select(*keys, id_col, generated, reference), id_col)
     base = placed.select(*keys, id_col, tokens(generated).alias("p"), tokens(reference).alias("r"))
     orders = list(range(1, min(n_gram, 4) + 1))
 
@@ -401,6 +401,7 @@ def most_missed(scored: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
 
 def report_generation(df: DataFrame, keys: list[str]) -> DataFrame:
     """Mean report score, BLEU and efficacy."""
+    df = spread(df.select(*keys, "pred_id", "p_text", "r_text"), "pred_id")  # scores are heavier than their texts
     scored = report_scores(df).select(*keys, "overall", reports.efficacy("p_text", "r_text").alias("e"))
     means = scored.groupBy(*keys).agg(
         F.avg("overall").alias("green_score"), F.avg("e").alias("clinical_efficacy"), F.count("*").alias("valid_samples")
