@@ -7,7 +7,7 @@ it, a question's words are sorted rare-first and only as long a prefix is indexe
 overlapping questions must have a prefix word in common.
 
 Cases: a record without image file or without answer word overlaps nothing; neither does a
-question without a word. Null splits belong to no side. Empty tables give empty results.
+question without a word. Null splits belong to no side, rows without id to no pair. Empty tables give empty results.
 Extra columns are ignored, whatever their names.
 """
 
@@ -42,7 +42,7 @@ def _records(df: DataFrame, id_col: str, split_col: str, train: str) -> DataFram
     )
     base = with_file_names(fields, "field", "files").withColumn("names", F.array_join("files", "\u0001"))
     k1, k2 = fingerprint(F.col("names"), F.col("answer"))
-    ok = F.col("placed") & (F.col("names") != "") & (F.col("answer") != "")
+    ok = F.col("placed") & F.col("id").isNotNull() & (F.col("names") != "") & (F.col("answer") != "")
     return base.select("id", "train", ok.alias("ok"), k1.alias("k1"), k2.alias("k2"), "Question")
 
 

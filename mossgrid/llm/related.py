@@ -11,7 +11,8 @@ its components are found in the same way.
 Splits are then given to whole components: large ones first, the rest in hash order within
 the TaskType that most of their records have.
 
-Cases: a record without image is in no group and gets a split by its own hash. A study in a
+Cases: a record without image is in no group and gets a split by its own hash; those without
+id too get one split. A study in a
 single record forms a group of one. Repeated rows count. Empty tables give empty results;
 without target splits, or with shares of zero only, every record's split is null.
 """
@@ -179,7 +180,7 @@ def grouped_splits(df: DataFrame, targets: DataFrame, id_col: str = "rec_id") ->
         return named.select(F.col("id").alias(id_col), "group_key", F.lit(None).cast("string").alias("split_name"))
     keyed = cut_lineage(
         parsed.join(groups.select("study", "group_key"), "study", "left").select(
-            "id", "group_key", F.coalesce("group_key", F.concat(F.lit("\u0001"), F.col("id").cast("string"))).alias("unit"),
+            "id", "group_key", F.coalesce("group_key", F.concat(F.lit("\u0001"), F.coalesce(F.col("id").cast("string"), F.lit("")))).alias("unit"),
             F.coalesce("task", F.lit("")).alias("task"),
         )
     )

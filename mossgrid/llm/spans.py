@@ -19,7 +19,7 @@ suffixes meet in a node as deep as ``length`` if their windows are equal.
    no other record has is cut into shorter stretches, and goes on only where the characters
    that all its windows have in common occur elsewhere.
 
-Cases: null, empty and short texts share nothing. Repeated rows of one id are one record; if
+Cases: null, empty and short texts share nothing, neither do rows without id. Repeated rows of one id are one record; if
 its texts differ, the one with most shared characters counts. White space counts; characters
 are code points. Texts of any length are read whole. Equal texts are told by length and
 SHA-256; all other equality is that of characters.
@@ -371,7 +371,7 @@ def shared_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("spans are at least 4 characters long")
     texts = (
         df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        .where(F.length("text") >= length)
+        .where(F.col("id").isNotNull() & (F.length("text") >= length))
         .select("id", F.xxhash64("text").alias("v"), "text")
     )
     marks = texts.select("id", "v", F.unhex(F.sha2("text", 256)).alias("digest"), F.length("text").cast("long").alias("size"))
